@@ -18,18 +18,20 @@ def running_totals(
     values: Sequence[str],
     tile_bits: int = TILE_BITS,
     levels: int = 2,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Running totals by ``position`` within ``keys``, exact for groups of any size.
 
-    ``df`` must hold each (keys, position) once, so a tile of ``2**tile_bits``
-    positions holds a bounded number of rows. Totals run inside each tile; the
+    ``df`` should hold each (keys, position) once, or nearly so, so that a tile of
+    ``2**tile_bits`` positions holds a bounded number of rows; ``ties`` orders rows
+    of one position. Totals run inside each tile; the
     totals of whole tiles run one level up in the same way, and are added. Adds
     ``<value>_upto`` (inclusive) and keeps every row and column. Null positions
     are not allowed; values must be long.
     """
     tile = f"{position}_tile"
     tiled = df.withColumn(tile, F.shiftright(F.col(position), tile_bits)) if levels else df
-    inside = Window.partitionBy(*keys, *([tile] if levels else [])).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, *([tile] if levels else [])).orderBy(position, *ties).rowsBetween(Window.unboundedPreceding, 0)
     local = tiled.withColumns({f"{v}_upto": F.sum(v).over(inside) for v in values})
     if not levels:
         return local
@@ -40,6 +42,17 @@ def running_totals(
     return joined.select(*df.columns, *((F.col(f"{v}_upto") + F.col(f"{v}_before")).alias(f"{v}_upto") for v in values))
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt: Column) -> DataFrame:
+    """Inner equi-join in which a hot key of ``left`` is spread over its salts.
+
+    ``right`` goes first to the (keys, salt) pairs that ``left`` has, at most one
+    per salt and key, and from there to the rows. Null keys match nothing.
+    """
+    salted = left.withColumn("_salt", salt)
+    pairs = salted.groupBy(*keys, "_salt").agg(F.count("*").alias("_rows")).drop("_rows")
+    return salted.join(pairs.join(right, list(keys)), [*keys, "_salt"]).drop("_salt")
+
+
 def with_group_figures(df: DataFrame, keys: Sequence[str], salt: Column, partial: dict[str, Column], total: dict[str, Column]) -> DataFrame:
     """Joins group-wide aggregates to every row, a hot group being spread over its salts.
 
