@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import dedup, sketch, spans
+from strandloom.llm.leak import LeakSearch
+from strandloom.llm.mix import Mixture
+from strandloom.llm.subjects import SubjectModel
 from strandloom.llm.words import without_space
 from strandloom.plans.registry import Registry
 from strandloom.session import table
@@ -120,3 +123,72 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     shared = F.coalesce("n_shared", zero)
     return lengths.join(found, "record_id", "left").select("record_id", "n_letters", F.coalesce("n_spans", zero).alias("n_spans"), shared.alias("n_shared"), F.round(shared / F.col("n_letters"), 6).alias("share"))
+
+
+_P6_SQL = r"""
+WITH e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM e)),
+dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
+"""
+
+
+def _leaks(spark: SparkSession, d: str) -> LeakSearch:
+    return LeakSearch(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+@registry.query(_P6_SQL + "SELECT * FROM f")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 12 consecutive words of a test item."""
+    return _leaks(spark, d).exact().select("doc_id", "item_id").distinct()
+
+
+@registry.query(_P6_SQL + "SELECT item_id, suite, CAST(count(doc_id) AS BIGINT) AS n_docs FROM eval_items LEFT JOIN f USING (item_id) GROUP BY ALL")
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per test item: how many documents give it away."""
+    found = _leaks(spark, d).exact().select("doc_id", "item_id").distinct().groupBy("item_id").agg(F.count("*").alias("n"))
+    items = table(spark, d, "eval_items").select("item_id", "suite")
+    return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0).cast("long")).alias("n_docs"))
+
+
+@registry.query()
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least 9 of 12 consecutive item words, the rarest among them, within two places of their order."""
+    return _leaks(spark, d).near()
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@registry.query()
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents and how often each is used."""
+    return _mixture(spark, d).repeats()
+
+
+@registry.query()
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixture(spark, d).shares()
+
+
+def _subjects(spark: SparkSession, d: str) -> SubjectModel:
+    # a fixed table of a dozen rows names the components
+    names = sorted(r["subject"] for r in table(spark, d, "subject_areas").select("subject").collect())
+    return SubjectModel(table(spark, d, "documents"), table(spark, d, "subject_labels"), names)
+
+
+@registry.query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of each document with text."""
+    return _subjects(spark, d).of_documents().select("doc_id", "subject")
+
+
+@registry.query()
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Make-up of the corpus: documents of each subject, and their parts when a document of several subjects is divided among them by share."""
+    found = _subjects(spark, d).of_documents()
+    parts = found.join(found.groupBy("doc_id").agg(F.sum("share").alias("whole")), "doc_id")
+    return parts.groupBy("subject").agg(F.count("*").alias("n_docs"), F.round(F.sum(F.col("share") / F.col("whole")), 3).alias("doc_parts"))
