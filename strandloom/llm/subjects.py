@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.grouping import spread_join
@@ -19,9 +19,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Columns of the document-term matrix: terms are hashed into so many buckets, which bounds the model.
 BUCKETS = 1 << 15
 #: Share of a thread's subject mass from which a subject counts; less is a remark in passing.
-THRESHOLD = 0.22
+THRESHOLD = 0.25
 #: Rows factored at a time inside a task.
 BLOCK = 1000
+#: Part of a language's threads, against its most frequent term, from which a term belongs to the background.
+COMMON = 0.3
+#: How often a question's tags count.
+TAG_WEIGHT = 4
 SALTS = 64
 
 _CODE = r"(?s)```.*?(?:```|\z)|<pre\b.*?</pre>|<code\b.*?</code>|`[^`\n]*`"
@@ -64,7 +68,7 @@ class SubjectModel:
     """Subject mixtures of threads from an anchored factorisation X ~ W H.
 
     A row of X is a thread (a question with its answers), a column a hashed term;
-    title and tags count twice. H starts from anchors: one component per subject
+    a question's title counts once, its tags ``TAG_WEIGHT`` times. H starts from anchors: one component per subject
     from the rows that labels name, minus most of what all rows have in common, and
     one background component per language. W and H are then updated in turn by
     multiplicative non-negative rules (Kullback-Leibler) over all rows: tasks sum
@@ -82,8 +86,8 @@ class SubjectModel:
         spark = docs.sparkSession
         posts = docs.where(F.length(F.regexp_replace(F.col("text"), r"(?U)\s+", "")) > 0)
         self.posts = posts.select("doc_id", F.coalesce("thread_id", "doc_id").alias("thread"))
-        twice = F.concat_ws(" ", "title", "tags", "title", "tags")
-        said = F.concat(terms(prose(F.col("text"))), terms(F.coalesce(twice, F.lit(""))))
+        head = F.concat_ws(" ", "title", *["tags"] * TAG_WEIGHT)
+        said = F.concat(terms(prose(F.col("text"))), terms(F.coalesce(head, F.lit(""))))
         column = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
         language = F.when(F.col("post_type") == "question", F.lower(F.substring(F.trim("lang"), 1, 2)))
         flat = posts.select(F.coalesce("thread_id", "doc_id").alias("thread"), language.alias("language"), F.explode(said).alias("term")).select("thread", "language", column.alias("col"))
@@ -108,7 +112,9 @@ class SubjectModel:
         named = spread_join(self.matrix, shares, ["thread"], F.pmod(F.xxhash64("thread"), F.lit(SALTS))).select("name", "share", F.explode(F.arrays_zip("cols", "counts")).alias("e"))
         anchors = self._gather(named.groupBy("name", F.col("e.cols").alias("col")).agg(F.sum(F.col("e.counts") * F.col("share")).alias("n")), self.subjects)
         known = F.when(F.col("language").isin(languages), F.col("language")).otherwise(languages[0])
-        background = self._gather(entries.groupBy(known.alias("name"), "col").agg(F.sum("n").alias("n")), languages)
+        # a background has what many threads of its language share; rarer terms are left to the subjects
+        common = entries.groupBy(known.alias("name"), "col").agg(F.sum("n").alias("n"), F.count("*").alias("threads")).withColumn("most", F.max("threads").over(Window.partitionBy("name")))
+        background = self._gather(common.where(F.col("threads") >= COMMON * F.col("most")), languages)
         everything = background.sum(0) / max(background.sum(), 1)
         anchors /= np.maximum(anchors.sum(1, keepdims=True), 1e-12)
         anchors = np.maximum(anchors - 0.9 * everything, 0) + 1e-3 * everything
