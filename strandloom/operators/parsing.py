@@ -53,22 +53,23 @@ def parse_lines(df: DataFrame, line: str, columns: Sequence[str], rules: dict[st
     the broken rules. Valid rows have an empty array. A null line has the error
     ``columns``; a rule that gives null counts as broken. Other columns are kept.
     """
-    bad_quotes = quoting_fails(F.col(line))
-    fields = F.when(bad_quotes | F.col(line).isNull(), None).otherwise(split_fields(F.col(line)))
-    base = df.withColumns({"_bad_quotes": bad_quotes, "fields": fields})
-    by_name = {c: F.get(F.col("fields"), F.lit(i)) for i, c in enumerate(columns)}
-    broken = F.filter(F.array(*(F.when(~F.coalesce(rule(by_name), F.lit(False)), F.lit(name)) for name, rule in rules.items())), lambda x: x.isNotNull())
-    errors = (
-        F.when(F.col("_bad_quotes"), F.array(F.lit("quoting")))
-        .when(F.col("fields").isNull() | (F.size("fields") != len(columns)), F.array(F.lit("columns")))
-        .otherwise(broken)
-    )
-    return base.withColumn("errors", errors).drop("_bad_quotes")
+    raw = F.col(line)
+    plain = ~F.contains(raw, F.lit('"'))
+    fields = F.when(raw.isNull(), None).when(plain, F.split(raw, ",", -1)).when(quoting_fails(raw), None).otherwise(split_fields(raw))
+
+    def reasons(f: Column) -> Column:
+        by_name = {c: F.get(f, F.lit(i)) for i, c in enumerate(columns)}
+        broken = F.filter(F.array(*(F.when(~F.coalesce(rule(by_name), F.lit(False)), F.lit(name)) for name, rule in rules.items())), lambda x: x.isNotNull())
+        return F.when(f.isNull() & raw.isNotNull(), F.array(F.lit("quoting"))).when(f.isNull() | (F.size(f) != len(columns)), F.array(F.lit("columns"))).otherwise(broken)
+
+    # the lambda binds the fields, so that a line is split once and not once per rule
+    errors = F.transform(F.array(fields), reasons)[0]
+    return df.withColumns({"fields": fields, "errors": errors})
 
 
 def rejected(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per failing line and reason."""
-    return parsed.where(F.size("errors") > 0).select(*keep, F.explode("errors").alias("reason"))
+    return parsed.select(*keep, F.explode("errors").alias("reason"))
 
 
 def loaded(parsed: DataFrame, keep: Sequence[str], columns: Sequence[str], casts: dict[str, str]) -> DataFrame:
