@@ -89,7 +89,9 @@ class SubjectModel:
         head = F.concat_ws(" ", "title", *["tags"] * TAG_WEIGHT)
         said = F.concat(terms(prose(F.col("text"))), terms(F.coalesce(head, F.lit(""))))
         column = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-        language = F.when(F.col("post_type") == "question", F.lower(F.substring(F.trim("lang"), 1, 2)))
+        short = F.lower(F.substring(F.trim("lang"), 1, 2))
+        # numbers, since a largest text would make Spark sort where it can hash
+        language = F.when(F.col("post_type") == "question", F.coalesce(*(F.when(short == name, i) for i, name in enumerate(languages)), F.lit(0)))
         flat = posts.select(F.coalesce("thread_id", "doc_id").alias("thread"), language.alias("language"), F.explode(said).alias("term")).select("thread", "language", column.alias("col"))
         counts = flat.groupBy("thread", "col").agg(F.count("*").alias("n"), F.max("language").alias("language"))
         self.matrix = written(counts.groupBy("thread").agg(F.collect_list("col").alias("cols"), F.collect_list(F.col("n").cast("float")).alias("counts"), F.max("language").alias("language")))
@@ -111,7 +113,7 @@ class SubjectModel:
         shares = votes.join(votes.groupBy("thread").agg(F.sum("v").alias("all")), "thread").select("thread", "name", (F.col("v") / F.col("all")).alias("share"))
         named = spread_join(self.matrix, shares, ["thread"], F.pmod(F.xxhash64("thread"), F.lit(SALTS))).select("name", "share", F.explode(F.arrays_zip("cols", "counts")).alias("e"))
         anchors = self._gather(named.groupBy("name", F.col("e.cols").alias("col")).agg(F.sum(F.col("e.counts") * F.col("share")).alias("n")), self.subjects)
-        known = F.when(F.col("language").isin(languages), F.col("language")).otherwise(languages[0])
+        known = F.coalesce(*(F.when(F.col("language") == i, name) for i, name in enumerate(languages)), F.lit(languages[0]))
         # a background has what many threads of its language share; rarer terms are left to the subjects
         common = entries.groupBy(known.alias("name"), "col").agg(F.sum("n").alias("n"), F.count("*").alias("threads")).withColumn("most", F.max("threads").over(Window.partitionBy("name")))
         background = self._gather(common.where(F.col("threads") >= COMMON * F.col("most")), languages)
