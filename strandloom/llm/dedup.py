@@ -64,8 +64,9 @@ def hidden_duplicates(df: DataFrame, id_col: str, sequence: str, title: str) ->
 
     Returns ``keep_id`` (smallest id of the class), ``record_id`` and ``n_copies``
     (size of the class, the kept record included), for classes of two and more.
-    A null or empty title or sequence takes a record out. Ids must be unique
-    longs. A fingerprint of any number of rows is spread over salts.
+    A null or empty title or sequence takes a record out. Ids are longs; a row that
+    repeats an id counts as one more copy. A fingerprint of any number of rows is
+    spread over salts. Other columns do not matter.
     """
     rows = df.select(F.col(id_col).alias("record_id"), letters(F.col(sequence)).alias("seq"), words(F.col(title)).alias("words")).where(
         (F.coalesce(F.col(sequence), F.lit("")) != "") & (F.coalesce(F.col(title), F.lit("")) != "")
@@ -86,7 +87,7 @@ def hidden_duplicates(df: DataFrame, id_col: str, sequence: str, title: str) ->
         .withColumn("salt", salt)
     )
     # the first record's values go once to each salt in which its group has rows
-    first = grouped.where("record_id = first_id").select(*fp, F.col("seq").alias("first_seq"), F.col("words").alias("first_words"))
+    first = grouped.where("record_id = first_id").select(*fp, F.col("seq").alias("first_seq"), F.col("words").alias("first_words")).dropDuplicates(fp)
     spread = grouped.groupBy(*fp, "salt").agg(F.count("*").alias("_n")).drop("_n").join(first, fp)
     members = grouped.join(spread, [*fp, "salt"])
     checked = members.withColumn("same", (F.col("seq") == F.col("first_seq")) & ((F.col("words") == F.col("first_words")) | same_multiset("words", "first_words")))

@@ -50,7 +50,8 @@ class LeakSearch:
     intersected with these; what remains is compared on all words of the item.
 
     Whole texts and all documents are searched. Null texts, and items of fewer
-    than ``phrase`` words, match nothing. The items' side is as large as the test
+    than ``phrase`` words, match nothing; a repeated document or item changes nothing.
+    The items' side is as large as the test
     set; Spark broadcasts it only under its own size threshold.
     """
 
@@ -78,10 +79,10 @@ class LeakSearch:
         found = self._candidates()
         both = found.join(pairs, ["item_id", "p1"]).withColumn("pos", F.col("shift") + F.col("p2")).join(self.index.select("doc_id", "pos", "term"), ["doc_id", "pos", "term"])
         order = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos")
-        runs = self._matched(both).withColumn("run", F.col("item_pos") - F.row_number().over(order))
+        runs = self._matched(both).withColumn("run", F.col("item_pos") - F.dense_rank().over(order))
         return (
             runs.groupBy("doc_id", "item_id", "shift", "run")
-            .agg(F.min("item_pos").alias("item_pos"), F.count("*").alias("n_words"))
+            .agg(F.min("item_pos").alias("item_pos"), (F.max("item_pos") - F.min("item_pos") + 1).cast("long").alias("n_words"))
             .where(F.col("n_words") >= self.phrase)
             .select("doc_id", "item_id", (F.col("shift") + F.col("item_pos")).alias("doc_pos"), "item_pos", "n_words")
         )

@@ -29,7 +29,7 @@ TAG_WEIGHT = 4
 SALTS = 64
 
 _CODE = r"(?s)```.*?(?:```|\z)|<pre\b.*?</pre>|<code\b.*?</code>|`[^`\n]*`"
-_QUOTE = r"(?s)<blockquote\b.*?</blockquote>|(?m:^[ \t]*(?:>|&gt;).*$)"
+_QUOTE = r"(?s)<blockquote\b.*?</blockquote>|(?m:^[ \t]*(?:>|&gt;)[^\r\n]*)"
 _LINK_TAG = r"https?://\S+|<[^>]*>"
 
 
