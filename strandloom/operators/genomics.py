@@ -50,7 +50,7 @@ def parse_vcf(lines: DataFrame, line: str = "value") -> DataFrame:
     """
     f = F.split(F.col(line), "\t")
     rows = lines.where(~F.startswith(F.col(line), F.lit("#"))).select(f.alias("f")).where(F.size("f") >= 8)
-    at = lambda i: F.col("f")[i]
+    at = lambda i: F.get("f", F.lit(i))
     entries = F.transform(F.filter(F.split(at(7), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.split(x, "=", 2)[0].alias("k"), F.coalesce(F.get(F.split(x, "=", 2), F.lit(1)), F.lit("")).alias("v")))
     keys = F.array_distinct(F.transform(F.col("e"), lambda x: x["k"]))
     last = lambda k: F.element_at(F.filter(F.col("e"), lambda x: x["k"] == k), -1)["v"]
@@ -105,11 +105,11 @@ def parse_features(lines: DataFrame, line: str = "value", gtf: bool = False) ->
     """GFF3 or GTF lines as rows: record, source, type, start, end, score, strand, phase, attributes (map). Comments and short or impossible lines drop out."""
     f = F.split(F.col(line), "\t")
     rows = lines.where(~F.startswith(F.col(line), F.lit("#"))).select(f.alias("f")).where(F.size("f") >= 9)
-    at = lambda i: F.col("f")[i]
+    at = lambda i: F.get("f", F.lit(i))
     if gtf:
         entries = F.transform(F.regexp_extract_all(at(8), F.lit(r'\w+\s+"[^"]*"|\w+\s+[^";\s]+'), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, r"^(\w+)", 1).alias("k"), F.regexp_replace(F.regexp_replace(x, r"^\w+\s+", ""), '"', "").alias("v")))
     else:
-        entries = F.transform(F.filter(F.split(at(8), ";"), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.trim(F.split(x, "=", 2)[0]).alias("k"), F.try_url_decode(F.split(x, "=", 2)[1]).alias("v")))
+        entries = F.transform(F.filter(F.split(at(8), ";"), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.trim(F.get(F.split(x, "=", 2), F.lit(0))).alias("k"), F.try_url_decode(F.get(F.split(x, "=", 2), F.lit(1))).alias("v")))
     keys = F.array_distinct(F.transform(F.col("e"), lambda x: x["k"]))
     joined = lambda k: F.array_join(F.transform(F.filter(F.col("e"), lambda x: x["k"] == k), lambda x: x["v"]), ",")
     out = rows.withColumn("e", entries).withColumn("attributes", F.map_from_arrays(keys, F.transform(keys, joined))).withColumns({"start": at(3).try_cast("long"), "end": at(4).try_cast("long")})

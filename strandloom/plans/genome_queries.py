@@ -40,7 +40,7 @@ def interval_reciprocal(spark: SparkSession, d: str) -> DataFrame:
     return intervals.intersect(a, b, 1, 0.5).select("interval_id", "ref_interval_id")
 
 
-@query(_IV + " SELECT interval_id, min(greatest(0, rs - e, s - re)) AS distance FROM q LEFT JOIN r ON q.record = r.record GROUP BY interval_id")
+@query(_IV + " SELECT interval_id, min(CASE WHEN rs IS NOT NULL THEN greatest(0, rs - e, s - re) END) AS distance FROM q LEFT JOIN r ON q.record = r.record GROUP BY interval_id")
 def interval_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Distance to the nearest reference."""
     a, b = _intervals(spark, d)

@@ -103,7 +103,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     tags = F.filter(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(1))), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:"))
     keys = F.transform(tags, lambda x: F.substring(x, 1, 2))
     tag_map = F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, F.transform(tags, lambda x: F.substring(x, 6, 1_000_000))))
-    return rows.select(*((F.col("f")[i].try_cast(types[n]) if n in types else F.col("f")[i]).alias(n) for i, n in enumerate(names)), tag_map.alias("tags"))
+    return rows.select(*((F.get("f", F.lit(i)).try_cast(types[n]) if n in types else F.get("f", F.lit(i))).alias(n) for i, n in enumerate(names)), tag_map.alias("tags"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +124,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
     """PAF alignment blocks with 1-based closed coordinates and identity."""
     f = F.split("value", "\t")
-    at = lambda i: F.col("f")[i].try_cast("bigint")
+    at = lambda i: F.get("f", F.lit(i)).try_cast("bigint")
     rows = spark.read.text(path).select(f.alias("f")).where(F.size("f") >= 12)
-    return rows.select(F.col("f")[0].alias("query"), at(1).alias("query_length"), (at(2) + 1).alias("query_start"), at(3).alias("query_end"), F.col("f")[4].alias("strand"), F.col("f")[5].alias("reference"), at(6).alias("reference_length"), (at(7) + 1).alias("start"), at(8).alias("end"), at(9).alias("matches"), at(10).alias("block_length"), at(11).alias("mapq"),
+    return rows.select(F.get("f", F.lit(0)).alias("query"), at(1).alias("query_length"), (at(2) + 1).alias("query_start"), at(3).alias("query_end"), F.get("f", F.lit(4)).alias("strand"), F.get("f", F.lit(5)).alias("reference"), at(6).alias("reference_length"), (at(7) + 1).alias("start"), at(8).alias("end"), at(9).alias("matches"), at(10).alias("block_length"), at(11).alias("mapq"),
                        F.round(at(9) / F.when(at(10) > 0, at(10)), 6).alias("identity"))
