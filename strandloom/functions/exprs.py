@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings that count as missing in statistics and group summaries.
@@ -22,6 +22,24 @@ def to_num(cell: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """The finite number of a column: text by ``to_num``, numeric types as they are, NaN and infinities null."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        return F.col(name).cast("double")
+    if kind in ("float", "double"):
+        value = F.col(name).cast("double")
+        return F.when(F.abs(value) < F.lit(float("inf")), value)
+    return to_num(F.col(name))
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """The value of a column where it is not missing: trimmed text, numeric types as they are."""
+    if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return F.col(name)
+    return F.when(~is_missing(F.col(name)), F.trim(F.col(name).cast("string")))
+
+
 def to_num_sql(cell: Column) -> Column:
     """As ``to_num``, but a blank or null cell is 0 (the policy of SQL aggregates, the calculator and reshaping)."""
     return F.when(F.trim(F.coalesce(cell.cast("string"), F.lit(""))) == "", F.lit(0.0)).otherwise(to_num(cell))

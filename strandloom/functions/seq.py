@@ -35,8 +35,7 @@ def gc_percent(sequence: Column) -> Column:
 def codons(sequence: Column, frame: int = 0) -> Column:
     """The upper-case DNA codons of a frame; an incomplete last one is left out."""
     s = F.translate(F.upper(sequence), "U", "T")
-    n = F.floor((F.length(s) - frame) / 3)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substring(s, (i * 3 + frame + 1).cast("int"), F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.substring(s, frame + 1, 1 << 30) if frame else s, F.lit("(?s).{3}"), F.lit(0))
 
 
 def translate(sequence: Column, frame: int = 0, code: str = STANDARD_CODE) -> Column:
@@ -58,10 +57,9 @@ def iupac_regex(motif: str) -> str:
 
 
 def windows(sequence: Column, size: int, step: int) -> Column:
-    """Array of (start, text) of the windows of a sequence; a shorter sequence has none."""
-    n = F.length(sequence)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(sequence, i, F.lit(size)).alias("text")))
+    """Array of (start, text) of the windows of a sequence; a shorter sequence has none. One pass over the letters."""
+    texts = F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1))
+    return F.transform(texts, lambda t, i: F.struct((i * step + 1).alias("start"), t.alias("text")))
 
 
 def wrapped(sequence: Column, width: int = 60) -> Column:

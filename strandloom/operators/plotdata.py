@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.exprs import natural_key, to_num
+from strandloom.functions.exprs import natural_key, number
 from strandloom.functions.special import normal_q
 from strandloom.operators.grouping import running_totals
 from strandloom.operators.profile import order_key
@@ -21,7 +21,7 @@ def histogram(df: DataFrame, value: str, bins: int | None = None, low: float | N
     Without ``bins``, the rule of Freedman and Diaconis sets them (Sturges' where
     the quartiles meet), within 1 and 80.
     """
-    rows = df.select(to_num(F.col(value)).alias("x")).where("x IS NOT NULL")
+    rows = df.select(number(df, value).alias("x")).where("x IS NOT NULL")
     f = rows.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"), F.percentile("x", [0.25, 0.75]).alias("q")).first()
     if not f["n"]:
         return df.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, n_values bigint")
@@ -43,7 +43,7 @@ def box(df: DataFrame, groups: Sequence[str], value: str, fence: float = 1.5) ->
 
     Values are first counted per group, so only distinct values with their counts go on.
     """
-    counts = df.select(*groups, to_num(F.col(value)).alias("x")).where("x IS NOT NULL").groupBy(*groups, "x").agg(F.count("*").alias("c"))
+    counts = df.select(*groups, number(df, value).alias("x")).where("x IS NOT NULL").groupBy(*groups, "x").agg(F.count("*").alias("c"))
     q = lambda p: F.percentile("x", p, F.col("c"))
     five = counts.groupBy(*groups).agg(F.sum("c").alias("n"), F.min("x").alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("x").alias("max"))
     reach = fence * (F.col("q3") - F.col("q1"))
@@ -57,7 +57,7 @@ def density(df: DataFrame, groups: Sequence[str], value: str, points: int = 32)
 
     Each distinct value adds to every grid point, so the work is distinct values times ``points``.
     """
-    counts = df.select(*groups, to_num(F.col(value)).alias("v")).where("v IS NOT NULL").groupBy(*groups, "v").agg(F.count("*").alias("c"))
+    counts = df.select(*groups, number(df, value).alias("v")).where("v IS NOT NULL").groupBy(*groups, "v").agg(F.count("*").alias("c"))
     span = counts.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
     if span["low"] is None:
         return df.select(*groups, F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).where("false")
@@ -77,7 +77,7 @@ def density(df: DataFrame, groups: Sequence[str], value: str, points: int = 32)
 
 def heatmap(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
     """Mean per (x, y) for all combinations of seen x and y; cells without rows have a null mean."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.round(F.avg(to_num(F.col(value))), 6).alias("mean"), F.count("*").alias("n"))
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.round(F.avg(number(df, value)), 6).alias("mean"), F.count("*").alias("n"))
     one = F.lit(1).alias("_one")
     # axis labels, not rows: every combination is a cell of the plot
     grid = cells.select("x", one).distinct().join(cells.select("y", one).distinct(), "_one").drop("_one")
@@ -86,7 +86,7 @@ def heatmap(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
 
 def qq(df: DataFrame, value: str) -> DataFrame:
     """Normal Q-Q points per distinct value: value, its last rank, (rank - 0.5) / n, and the normal quantile."""
-    counts = df.select(to_num(F.col(value)).alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("c"))
+    counts = df.select(number(df, value).alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("c"))
     total = counts.agg(F.sum("c").alias("n")).first()["n"] or 0
     ranked = running_totals(counts.withColumn("_pos", order_key(F.col("x"))), [], "_pos", ["c"], tile_bits=44, levels=1, ties=["x"])
     return ranked.select("x", F.col("c_upto").alias("rank"), F.round((F.col("c_upto") - 0.5) / F.lit(float(total or 1)), 9).alias("probability")).withColumn("quantile", F.round(normal_q("probability"), 6))
@@ -110,7 +110,7 @@ def manhattan(df: DataFrame, chrom: str, pos: str, lengths: DataFrame) -> DataFr
 
 def flows(df: DataFrame, source: str, target: str, value: str) -> DataFrame:
     """Positive flows summed by source and target."""
-    x = to_num(F.col(value))
+    x = number(df, value)
     return df.where(F.col(source).isNotNull() & F.col(target).isNotNull() & (x > 0)).groupBy(F.col(source).cast("string").alias("source"), F.col(target).cast("string").alias("target")).agg(F.round(F.sum(x), 2).alias("flow"))
 
 

@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.exprs import is_missing, to_num
+from strandloom.functions.exprs import is_missing, number, to_num
 from strandloom.operators.grouping import running_totals
 
 
@@ -23,13 +23,13 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     number, date (YYYY-MM-DD), text. Missing spellings do not take part.
     """
     cells = _unpivoted(df, columns).select("column", F.when(~is_missing(F.col("cell")), F.trim("cell")).alias("cell")).groupBy("column", "cell").agg(F.count("*").alias("n"))
-    here, number = F.col("cell").isNotNull(), to_num(F.col("cell"))
+    here, x = F.col("cell").isNotNull(), to_num(F.col("cell"))
     all_of = lambda test: F.coalesce(F.bool_and(F.when(here, test)), F.lit(False))
     kind = (
         F.when(F.count("cell") == 0, "empty")
         .when(all_of(F.lower("cell").isin("true", "false", "yes", "no")), "boolean")
         .when(all_of(F.col("cell").rlike(r"^[+-]?\d+$")), "integer")
-        .when(all_of(number.isNotNull()), "number")
+        .when(all_of(x.isNotNull()), "number")
         .when(all_of(F.col("cell").rlike(r"^\d{4}-\d{2}-\d{2}$")), "date")
         .otherwise("text")
     )
@@ -40,10 +40,10 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.sum(F.when(here, 0).otherwise(weight)).alias("n_missing"),
         F.round(F.sum(F.when(here, 0).otherwise(weight)) * 100 / F.sum("n"), 2).alias("missing_percent"),
         F.count("cell").alias("n_distinct"),
-        F.min(number).alias("min_number"),
-        F.max(number).alias("max_number"),
-        F.round(F.sum(number * weight) / F.sum(F.when(number.isNotNull(), weight)), 6).alias("mean_number"),
-        F.round(F.percentile(number, 0.5, weight), 6).alias("median_number"),
+        F.min(x).alias("min_number"),
+        F.max(x).alias("max_number"),
+        F.round(F.sum(x * weight) / F.sum(F.when(x.isNotNull(), weight)), 6).alias("mean_number"),
+        F.round(F.percentile(x, 0.5, weight), 6).alias("median_number"),
         F.min(size).cast("long").alias("min_length"),
         F.max(size).cast("long").alias("max_length"),
     )
@@ -62,7 +62,8 @@ def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFr
     Skewness and excess kurtosis are those of samples (G1, G2); quartiles
     interpolate linearly; the trimmed mean drops floor(n * trim) values at each end.
     """
-    values = _unpivoted(df, columns).select("column", to_num(F.col("cell")).alias("x")).where("x IS NOT NULL").groupBy("column", "x").agg(F.count("*").alias("c"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), number(df, c).alias("x")) for c in columns)))
+    values = df.select(each.alias("e")).select("e.*").where("x IS NOT NULL").groupBy("column", "x").agg(F.count("*").alias("c"))
     means = values.groupBy("column").agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
     centred = values.join(F.broadcast(means), "column").withColumn("d", F.col("x") - F.col("mean"))  # one row per column
     before = F.sum("c").over(Window.partitionBy("column").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
@@ -109,7 +110,7 @@ def order_key(x: Column) -> Column:
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All pairs of numeric columns: n, Pearson's r, covariance, and the regression line; rows lacking either value are left out. One pass."""
-    cast = df.select(*(to_num(F.col(c)).alias(c) for c in columns))
+    cast = df.select(*(number(df, c).alias(c) for c in columns))
     pairs = list(combinations_with_replacement(columns, 2))
     made = []
     for i, (a, b) in enumerate(pairs):
@@ -123,7 +124,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's rank correlation of two numeric columns: Pearson's r of the average ranks."""
-    both = df.select(to_num(F.col(a)).alias("a"), to_num(F.col(b)).alias("b")).dropna()
+    both = df.select(number(df, a).alias("a"), number(df, b).alias("b")).dropna()
     ranked = average_ranks(average_ranks(both, [], "a", "ra"), [], "b", "rb")
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))
 
@@ -134,7 +135,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     Cells meet as an inequality join of the distinct values, so it suits columns
     with few distinct values; n_concordant and n_discordant count pairs of rows.
     """
-    cells = df.select(to_num(F.col(a)).alias("a"), to_num(F.col(b)).alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("n"))
+    cells = df.select(number(df, a).alias("a"), number(df, b).alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("n"))
     other = cells.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
     pairs = cells.join(other, F.col("a2") > F.col("a"))
     signs = pairs.agg(F.sum(F.when(F.col("b2") > F.col("b"), F.col("n") * F.col("n2")).otherwise(0)).alias("n_concordant"), F.sum(F.when(F.col("b2") < F.col("b"), F.col("n") * F.col("n2")).otherwise(0)).alias("n_discordant"))
@@ -153,7 +154,7 @@ def missing_patterns(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def numeric_by_category(df: DataFrame, category: str, value: str) -> DataFrame:
     """Five-number summary, mean and deviation of a number per category."""
-    x = to_num(F.col(value))
+    x = number(df, value)
     q = lambda p: F.round(F.percentile(x, p), 6)
     return df.where(~is_missing(F.col(category)) & x.isNotNull()).groupBy(F.col(category).alias("category")).agg(
         F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("sd"), F.min(x).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(x).alias("max")
@@ -182,7 +183,7 @@ def outliers(df: DataFrame, group: str, value: str, z: float = 3.0, modified: fl
     Tukey, and the three flags; a score that needs a zero deviation is null. The
     figures are one row per group; percentiles are exact.
     """
-    x = to_num(F.col(value))
+    x = number(df, value)
     rows = df.where(x.isNotNull()).withColumn("_x", x)
     q = lambda p: F.percentile("_x", p)
     figures = rows.groupBy(group).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))

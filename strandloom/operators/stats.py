@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.exprs import is_missing, to_num
+from strandloom.functions.exprs import is_missing, number
 from strandloom.functions.special import chi2_p, f_p, fisher_p, normal_p, t_p
 from strandloom.operators.profile import average_ranks
 
@@ -19,7 +19,7 @@ def _one(df: DataFrame) -> DataFrame:
 
 def numeric_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     """(g, x) of the rows with a group and a number."""
-    return df.where(~is_missing(F.col(group))).select(F.col(group).cast("string").alias("g"), to_num(F.col(value)).alias("x")).where("x IS NOT NULL")
+    return df.where(~is_missing(F.col(group))).select(F.col(group).cast("string").alias("g"), number(df, value).alias("x")).where("x IS NOT NULL")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
 
 def paired_t_test(df: DataFrame, first: str, second: str) -> DataFrame:
     """Paired t test of second - first: n, mean difference, t, df, p."""
-    d = df.select((to_num(F.col(second)) - to_num(F.col(first))).alias("d")).where("d IS NOT NULL")
+    d = df.select((number(df, second) - number(df, first)).alias("d")).where("d IS NOT NULL")
     s = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("sd"))
     t = F.col("mean_difference") / F.when(F.col("sd") > 0, F.col("sd") / F.sqrt("n"))
     return _rounded(s.select("n", "mean_difference", "sd", t.alias("t"), (F.col("n") - 1).alias("df")).withColumn("p", t_p("t", F.col("df").cast("double"))))
@@ -120,7 +120,7 @@ def paired_t_test(df: DataFrame, first: str, second: str) -> DataFrame:
 
 def wilcoxon(df: DataFrame, first: str, second: str) -> DataFrame:
     """Wilcoxon signed-rank test of second - first: zero differences drop out; z with tie and continuity correction, p."""
-    d = df.select((to_num(F.col(second)) - to_num(F.col(first))).alias("d")).where("d IS NOT NULL AND d <> 0").withColumn("x", F.abs("d"))
+    d = df.select((number(df, second) - number(df, first)).alias("d")).where("d IS NOT NULL AND d <> 0").withColumn("x", F.abs("d"))
     ranked = average_ranks(d, [], "x", "r")
     s = ranked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sum(F.pow(F.col("r_ties").cast("double"), F.lit(2)) - 1).alias("ties"))
     n = F.col("n").cast("double")
@@ -157,7 +157,7 @@ def fisher_exact(df: DataFrame, row: Column, column: Column) -> DataFrame:
 
 def linear_regression(df: DataFrame, y: str, x: str) -> DataFrame:
     """Least-squares line of y on x: n, slope, intercept, R squared, standard error and t of the slope, df, p."""
-    rows = df.select(to_num(F.col(y)).alias("y"), to_num(F.col(x)).alias("x")).dropna()
+    rows = df.select(number(df, y).alias("y"), number(df, x).alias("x")).dropna()
     s = rows.agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r_squared"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"))
     free = (F.col("n") - 2).cast("double")
     se = F.sqrt((1 - F.col("r_squared")) * F.col("syy") / free / F.when(F.col("sxx") > 0, F.col("sxx")))
@@ -171,7 +171,7 @@ def multiple_regression(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     The products of all columns, (k + 2)**2 / 2 sums, are one pass; only they reach the driver.
     """
     names = ["intercept", *xs]
-    rows = df.select(to_num(F.col(y)).alias("_y"), *(to_num(F.col(x)).alias(x) for x in xs)).dropna()
+    rows = df.select(number(df, y).alias("_y"), *(number(df, x).alias(x) for x in xs)).dropna()
     cols = [F.lit(1.0), *(F.col(x) for x in xs), F.col("_y")]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     sums = rows.agg(*(F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs)).first()
@@ -226,7 +226,7 @@ def permutation_test(df: DataFrame, group: str, value: str, a: str, b: str, key:
     one pass. p = (extreme + 1) / (draws + 1), two-sided; no rows if a group is empty.
     """
     side = F.col(group).cast("string")
-    rows = df.where(side.isin(a, b)).select(side.alias("g"), to_num(F.col(value)).alias("x"), F.xxhash64(F.lit(seed), *key).alias("_id")).where("x IS NOT NULL")
+    rows = df.where(side.isin(a, b)).select(side.alias("g"), number(df, value).alias("x"), F.xxhash64(F.lit(seed), *key).alias("_id")).where("x IS NOT NULL")
     m = rows.agg(F.count_if(F.col("g") == a).alias("n_a"), F.count("*").alias("n"), F.avg(F.when(F.col("g") == a, F.col("x"))).alias("mean_a"), F.avg(F.when(F.col("g") == b, F.col("x"))).alias("mean_b")).first()
     if not m["n_a"] or m["n_a"] == m["n"]:
         return df.sparkSession.createDataFrame([], "difference double, draws int, extreme bigint, p double")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.exprs import clean_text, is_missing, key_text, natural_key, to_num, to_num_sql
+from strandloom.functions.exprs import clean_text, key_text, natural_key, number, present, to_num, to_num_sql
 
 
 def find_column(df: DataFrame, name: str) -> str:
@@ -36,7 +36,7 @@ def rule_lines(text: str, fields: int) -> list[list[str]]:
 def row_rule(df: DataFrame, column: str, op: str, value: str = "") -> Column:
     """One row filter: contains, not_contains (without case), equals, not_equals, empty, not_empty, gt, gte, lt, lte (false unless numeric)."""
     cell = F.coalesce(F.col(find_column(df, column)).cast("string"), F.lit(""))
-    number, bound = to_num(cell), to_num(F.lit(value))
+    x, bound = to_num(cell), to_num(F.lit(value))
     rules = {
         "contains": lambda: F.contains(F.lower(cell), F.lit(value.lower())),
         "not_contains": lambda: ~F.contains(F.lower(cell), F.lit(value.lower())),
@@ -44,10 +44,10 @@ def row_rule(df: DataFrame, column: str, op: str, value: str = "") -> Column:
         "not_equals": lambda: cell != value,
         "empty": lambda: F.trim(cell) == "",
         "not_empty": lambda: F.trim(cell) != "",
-        "gt": lambda: F.coalesce(number > bound, F.lit(False)),
-        "gte": lambda: F.coalesce(number >= bound, F.lit(False)),
-        "lt": lambda: F.coalesce(number < bound, F.lit(False)),
-        "lte": lambda: F.coalesce(number <= bound, F.lit(False)),
+        "gt": lambda: F.coalesce(x > bound, F.lit(False)),
+        "gte": lambda: F.coalesce(x >= bound, F.lit(False)),
+        "lt": lambda: F.coalesce(x < bound, F.lit(False)),
+        "lte": lambda: F.coalesce(x <= bound, F.lit(False)),
     }
     if op not in rules:
         raise ValueError(f"unknown rule {op!r}")
@@ -117,8 +117,9 @@ def calculate(df: DataFrame, name: str, op: str, left: str, right: str | float |
     add, subtract, multiply, divide, percent, log2, log10, zscore (by the sample
     standard deviation over the whole column).
     """
-    x = to_num_sql(F.col(left)) if op != "zscore" else to_num(F.col(left))
-    y = to_num_sql(F.col(right)) if isinstance(right, str) else F.lit(float(right)) if right is not None else F.lit(None).cast("double")
+    blank_zero = lambda c: to_num_sql(F.col(c)) if dict(df.dtypes)[c] == "string" else F.coalesce(number(df, c), F.lit(0.0))
+    x = blank_zero(left) if op != "zscore" else number(df, left)
+    y = blank_zero(right) if isinstance(right, str) else F.lit(float(right)) if right is not None else F.lit(None).cast("double")
     if op == "zscore":
         figures = df.agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd")).first()  # one row
         mean, sd = figures["_mean"], figures["_sd"]
@@ -174,16 +175,15 @@ def summarize_groups(df: DataFrame, groups: Sequence[str], values: Sequence[str]
     """
     aggs = [F.count("*").alias("row_count")]
     for v in values:
-        shown = F.when(~is_missing(F.col(v)), F.trim(F.col(v).cast("string")))
-        number = F.when(~is_missing(F.col(v)), to_num(F.col(v)))
+        shown, x = present(df, v), number(df, v)
         made = {
             "count": lambda: F.count(shown),
-            "sum": lambda: F.round(F.sum(number), 6),
-            "mean": lambda: F.round(F.avg(number), 6),
-            "median": lambda: F.round(F.percentile(number, 0.5), 6),
-            "min": lambda: F.min(number),
-            "max": lambda: F.max(number),
-            "sd": lambda: F.round(F.stddev_samp(number), 6),
+            "sum": lambda: F.round(F.sum(x), 6),
+            "mean": lambda: F.round(F.avg(x), 6),
+            "median": lambda: F.round(F.percentile(x, 0.5), 6),
+            "min": lambda: F.min(x),
+            "max": lambda: F.max(x),
+            "sd": lambda: F.round(F.stddev_samp(x), 6),
             "distinct": lambda: F.count_distinct(shown),
         }
         aggs += [made[op]().alias(f"{v}_{op}") for op in operations]
@@ -193,9 +193,9 @@ def summarize_groups(df: DataFrame, groups: Sequence[str], values: Sequence[str]
 def long_to_wide(df: DataFrame, ids: Sequence[str], names: str, value: str, how: str = "first", order: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """One row per ids, one column per name. ``how``: first or last by ``order``, sum or mean (blanks count as 0); blank names are skipped."""
     named = df.where(F.trim(F.coalesce(F.col(names).cast("string"), F.lit(""))) != "")
-    number = to_num_sql(F.col(value))
+    x = to_num_sql(F.col(value)) if dict(df.dtypes)[value] == "string" else F.coalesce(number(df, value), F.lit(0.0))
     place = F.struct(*order) if order else F.lit(0)
-    agg = {"first": lambda: F.min_by(value, place), "last": lambda: F.max_by(value, place), "sum": lambda: F.round(F.sum(number), 6), "mean": lambda: F.round(F.avg(number), 6)}[how]()
+    agg = {"first": lambda: F.min_by(value, place), "last": lambda: F.max_by(value, place), "sum": lambda: F.round(F.sum(x), 6), "mean": lambda: F.round(F.avg(x), 6)}[how]()
     grouped = named.groupBy(*ids)
     return (grouped.pivot(names, list(columns)) if columns else grouped.pivot(names)).agg(agg)
 
