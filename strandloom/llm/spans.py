@@ -164,7 +164,7 @@ def shared_spans(texts: DataFrame, patterns: DataFrame, span: int = 50, seed: in
     )
     columns = ["row", "first", "seed", "letters", "stretch"]
     repeated = written(counted.where("low <> high").select(*columns))
-    pieces = F.transform(F.sequence(F.lit(0), F.length("stretch") - span), lambda i: F.struct(i.alias("i"), F.substring(F.col("stretch"), i + 1, F.lit(span)).alias("w")))
+    pieces = F.transform(F.regexp_extract_all("stretch", F.lit(f"(?s)(?=(.{{{span}}}))."), F.lit(1)), lambda w, i: F.struct(i.alias("i"), w.alias("w")))  # all windows in one pass
     hot = F.col("letters") > SHARD_LETTERS
     refiled = repeated.where(hot).select("row", "first", F.explode(pieces).alias("p")).select("row", (F.col("first") + F.col("p.i")).alias("first"), F.xxhash64("p.w").alias("seed"), F.col("p.w").alias("stretch"))
     refiled = with_group_figures(
