@@ -236,3 +236,59 @@ def permutation_test(df: DataFrame, group: str, value: str, a: str, b: str, key:
     each = diffs.select(F.explode(F.array(*(F.col(f"d{k}") for k in range(draws)))).alias("d"))
     done = each.agg(F.count_if(F.abs("d") >= abs(observed) - 1e-12).alias("extreme"))
     return done.select(F.round(F.lit(observed), 6).alias("difference"), F.lit(draws).alias("draws"), "extreme", F.round((F.col("extreme") + 1) / (draws + 1), 6).alias("p"))
+
+
+#: Cells of a two-way table that may reach the driver.
+MOST_CELLS = 100_000
+
+
+def two_way_anova(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """Two-way analysis of variance with interaction, sequential (type I) in the order a, b, a x b: term, ss, df, f, p.
+
+    Count, sum and sum of squares of each cell are one aggregation; the cells, at
+    most ``MOST_CELLS``, go to the driver, where nested models are fitted to them.
+    No rows for an empty table.
+    """
+    rows = df.where(~is_missing(F.col(a)) & ~is_missing(F.col(b))).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), number(df, value).alias("x")).where("x IS NOT NULL")
+    cells = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v")).limit(MOST_CELLS + 1).toPandas()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"{a} and {b} have more than {MOST_CELLS} cells")
+    schema = "term string, ss double, df bigint, f double"
+    if cells.empty:
+        return df.sparkSession.createDataFrame([], schema).withColumn("p", F.lit(None).cast("double"))
+    n, m = cells["n"].to_numpy(float), cells["m"].to_numpy(float)
+    root = np.sqrt(n)
+    dummies = lambda c: (cells[c].to_numpy()[:, None] == np.array(sorted(set(cells[c])))[None, 1:]).astype(float)
+    one, da, db = np.ones((len(cells), 1)), dummies("a"), dummies("b")
+    within = float((cells["v"].to_numpy() * (n - 1)).sum())
+
+    def fit(design: np.ndarray) -> tuple[float, int]:
+        beta, _, rank, _ = np.linalg.lstsq(design * root[:, None], m * root, rcond=None)
+        return float((n * (m - design @ beta) ** 2).sum()), int(rank)
+
+    fits = [fit(one), fit(np.hstack([one, da])), fit(np.hstack([one, da, db])), (0.0, len(cells))]
+    free = int(n.sum()) - len(cells)
+    noise = within / free if free > 0 else 0.0
+    out = []
+    for term, (r0, k0), (r1, k1) in zip((a, b, f"{a} x {b}"), fits, fits[1:], strict=False):
+        out.append((term, r0 - r1, k1 - k0, (r0 - r1) / (k1 - k0) / noise if k1 > k0 and noise > 0 else None))
+    out.append(("residual", within, free, None))
+    table = df.sparkSession.createDataFrame(out, schema)
+    return _rounded(table.withColumn("p", f_p("f", F.col("df").cast("double"), F.lit(float(free)))), digits=4)
+
+
+def repeated_measures_anova(df: DataFrame, subject: str, condition: str, value: str) -> DataFrame:
+    """One-way repeated measures: n_subjects, n_conditions, f, df_condition, df_error, p. Repeated cells are averaged; subjects lacking a condition drop out."""
+    rows = df.where(~is_missing(F.col(subject)) & ~is_missing(F.col(condition))).select(F.col(subject).alias("s"), F.col(condition).alias("c"), number(df, value).alias("x")).where("x IS NOT NULL")
+    cells = rows.groupBy("s", "c").agg(F.avg("x").alias("x"))
+    k = cells.select("c").distinct().count()
+    whole = cells.groupBy("s").agg(F.count("*").alias("k"), F.avg("x").alias("ms")).where(F.col("k") == k).select("s", "ms")
+    used = cells.join(whole, "s")
+    per = used.groupBy("c").agg(F.avg("x").alias("mc"), F.count("*").alias("n"), F.sum("x").alias("sum"), F.sum(F.pow(F.col("x") - F.col("ms"), F.lit(2))).alias("inner"))
+    all_ = per.agg(F.max("n").alias("n"), (F.sum("sum") / F.sum("n")).alias("grand"), F.sum("inner").alias("inner"))
+    # sum of squares inside subjects = conditions + error
+    both = _one(per.select("mc")).join(_one(all_), "_one").groupBy("n", "inner").agg(F.sum(F.col("n") * F.pow(F.col("mc") - F.col("grand"), F.lit(2))).alias("ssc"))
+    d1, d2 = F.lit(k - 1), (F.col("n") - 1) * (k - 1)
+    error = F.col("inner") - F.col("ssc")
+    f = F.col("ssc") / F.when(d1 > 0, d1) / F.when(error > 1e-12, error / d2)
+    return _rounded(both.select(F.col("n").alias("n_subjects"), F.lit(k).cast("long").alias("n_conditions"), f.alias("f"), d1.cast("long").alias("df_condition"), d2.cast("long").alias("df_error")).withColumn("p", f_p("f", F.col("df_condition").cast("double"), F.col("df_error").cast("double"))), digits=4)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
-from strandloom.operators import genomics, intervals, scan
+from strandloom.operators import genomics, intervals, records, scan
 from strandloom.operators.periods import valid_intervals
 from strandloom.plans.registry import Registry
 from strandloom.session import table
@@ -255,3 +255,36 @@ def exact_copies(spark: SparkSession, d: str) -> DataFrame:
 def interval_lanes(spark: SparkSession, d: str) -> DataFrame:
     """Lanes needed to draw each set without overlaps."""
     return genomics.greedy_lanes(table(spark, d, "genomic_intervals"), "source_set", "start", "end")
+
+
+_NAME = r"nullif(regexp_extract(coalesce(title, ''), '^>?\s*(\S+)', 1), '')"
+_LETTERS = "upper(regexp_replace(coalesce(sequence, ''), '\\s+', '', 'g'))"
+
+
+@query(f"""WITH r AS (SELECT record_id, {_NAME} AS name, {_LETTERS} AS s FROM sequence_records WHERE alphabet = 'dna-rna') SELECT record_id, 'no name' AS problem FROM r WHERE name IS NULL UNION ALL SELECT record_id, 'empty sequence' FROM r WHERE s = ''
+UNION ALL SELECT record_id, 'illegal letters' FROM r WHERE regexp_matches(s, '[^ACGTURYSWKMBDHVN.*-]') UNION ALL SELECT record_id, 'repeated name' FROM r WHERE name IN (SELECT name FROM r GROUP BY name HAVING count(*) > 1)""")
+def record_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Records without name or letters, with a repeated name or illegal letters."""
+    return records.validate(table(spark, d, "sequence_records").where("alphabet = 'dna-rna'"), "record_id")
+
+
+@query(f"""WITH r AS (SELECT record_id, {_LETTERS} AS s FROM sequence_records WHERE alphabet = 'dna-rna'), c AS (SELECT record_id, length(s) AS n, length(regexp_replace(s, '[^GC]', '', 'g')) * 100 / nullif(length(regexp_replace(s, '[^ACGTU]', '', 'g')), 0) AS gc, length(regexp_replace(s, '[^RYSWKMBDHVN]', '', 'g')) AS a FROM r)
+SELECT record_id, concat_ws('; ', CASE WHEN n < 100 THEN 'too short' END, CASE WHEN n > 1000 THEN 'too long' END, CASE WHEN gc < 35 THEN 'GC too low' END, CASE WHEN gc > 65 THEN 'GC too high' END, CASE WHEN a > 2 THEN 'too ambiguous' END) AS reasons FROM c""")
+def record_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the limits they break."""
+    return records.with_reasons(table(spark, d, "sequence_records").where("alphabet = 'dna-rna'"), "sequence", 100, 1000, 35, 65, 2).select("record_id", "reasons")
+
+
+@query(f"SELECT record_id FROM sequence_records WHERE {_NAME} IN (SELECT {_NAME} FROM sequence_records WHERE alphabet = 'protein')")
+def records_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose name a protein has."""
+    rows = table(spark, d, "sequence_records")
+    names = rows.where("alphabet = 'protein'").select(records.record_name(F.col("title")).alias("name"))
+    return records.extract_by_id(rows, names).select("record_id")
+
+
+@query()
+def weight_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Places of a TATA-like position weight matrix."""
+    weights = {"A": [0.1, 1.0, 0.1, 1.0, 0.9, 1.0], "C": [0.1, 0, 0, 0, 0, 0], "G": [0, 0, 0, 0, 0, 0.1], "T": [1.0, 0.1, 1.0, 0.1, 0.5, 0.1]}
+    return records.scan_weights(_dna(spark, d), "record_id", "sequence", weights, 0.95)

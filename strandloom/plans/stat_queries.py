@@ -136,3 +136,25 @@ def pca2(spark: SparkSession, d: str) -> DataFrame:
 def permutation(spark: SparkSession, d: str) -> DataFrame:
     """Permutation test of two event types."""
     return stats.permutation_test(table(spark, d, "events"), "event_type", "value", "click", "view", ["event_id"])
+
+
+@query("""WITH r AS (SELECT l_returnflag AS a, l_linestatus AS b, l_extendedprice AS x FROM lineitem), g AS (SELECT avg(x) AS g FROM r), ma AS (SELECT a, count(*) AS n, avg(x) AS m FROM r GROUP BY a), c AS (SELECT a, b, count(*) AS n, var_samp(x) AS v FROM r GROUP BY a, b)
+SELECT round((SELECT sum(n * pow(m - g, 2)) FROM ma, g) / ((SELECT count(*) FROM ma) - 1) / (sum(v * (n - 1)) / (sum(n) - count(*))), 3) AS f_a, CAST(sum(n) - count(*) AS BIGINT) AS df_residual FROM c""")
+def anova_twoway_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first factor's F of a two-way analysis, which has a closed form."""
+    t = stats.two_way_anova(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")
+    return t.agg(F.round(F.max(F.when(F.col("term") == "l_returnflag", F.col("f"))), 3).alias("f_a"), F.max(F.when(F.col("term") == "residual", F.col("df"))).alias("df_residual"))
+
+
+@query()
+def anova_twoway(spark: SparkSession, d: str) -> DataFrame:
+    """Two-way analysis of variance."""
+    return stats.two_way_anova(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")
+
+
+@query("""WITH c AS (SELECT user_id AS s, event_type AS c, avg(value) AS x FROM events WHERE value IS NOT NULL GROUP BY ALL), k AS (SELECT count(DISTINCT c) AS k FROM c), w AS (SELECT s, avg(x) AS ms FROM c GROUP BY s HAVING count(*) = (SELECT k FROM k)), u AS (SELECT * FROM c JOIN w USING (s)),
+p AS (SELECT c, avg(x) AS mc, count(*) AS n FROM u GROUP BY c), t AS (SELECT (SELECT k FROM k) AS k, max(n) AS n, (SELECT avg(x) FROM u) AS g, (SELECT sum(pow(x - ms, 2)) FROM u) AS i FROM p), z AS (SELECT any_value(k) AS k, any_value(t.n) AS n, any_value(i) AS i, sum(p.n * pow(mc - g, 2)) AS ss FROM p, t)
+SELECT n AS n_subjects, k AS n_conditions, round(ss / (k - 1) / ((i - ss) / ((n - 1) * (k - 1))), 4) AS f, CAST(k - 1 AS BIGINT) AS df_condition, CAST((n - 1) * (k - 1) AS BIGINT) AS df_error FROM z""")
+def anova_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated-measures analysis of users over event types."""
+    return stats.repeated_measures_anova(table(spark, d, "events"), "user_id", "event_type", "value").drop("p")
