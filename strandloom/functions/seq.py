@@ -152,3 +152,11 @@ def mean_hydropathy(sequence: Column) -> Column:
     s = F.upper(sequence)
     known = sum((count_of(s, aa) for aa in HYDROPATHY), F.lit(0))
     return sum((count_of(s, aa) * F.lit(h) for aa, h in HYDROPATHY.items()), F.lit(0.0)) / F.when(known > 0, known)
+
+
+def in_context(sequence: Column, start: Column, end: Column, flank: int = 10) -> Column:
+    """The letters ``start`` to ``end`` in upper case between up to ``flank`` neighbours on each side in lower case."""
+    a, b = start.cast("int"), end.cast("int")
+    first = F.greatest(a - flank, F.lit(1))
+    part = lambda i, n: F.substring(sequence, i, n)
+    return F.concat(F.lower(part(first, a - first)), F.upper(part(a, b - a + 1)), F.lower(part(b + 1, F.lit(flank))))
