@@ -99,3 +99,61 @@ def scan_weights(records: DataFrame, record: str, sequence: str, weights: dict[s
 
     rows = records.where(F.col(sequence).isNotNull()).select(F.col(record).cast("long").alias("record_id"), F.translate(F.upper(F.regexp_replace(sequence, r"\s+", "")), "U", "T").alias("s"))
     return rows.mapInArrow(scan, "record_id long, start long, end long, score double, relative double")
+
+
+def parse_regions(regions: DataFrame, text: str = "region") -> DataFrame:
+    """Regions ``name:start-end``, ``name:start`` or ``name`` as name, region_start, region_end; thousands separators are dropped, missing bounds null, blank texts left out."""
+    rows = regions.select(F.regexp_replace(text, r"[\s,]", "").alias("_t")).where("_t <> ''")
+    bound = lambda i: F.nullif(F.regexp_extract("_t", r":([0-9]+)(?:-([0-9]+))?$", i), F.lit("")).try_cast("long")
+    return rows.select(F.regexp_replace("_t", r":[0-9]+(?:-[0-9]+)?$", "").alias("name"), bound(1).alias("region_start"), bound(2).alias("region_end"))
+
+
+def fetch_regions(records: DataFrame, regions: DataFrame, name: str = "name", sequence: str = "sequence") -> DataFrame:
+    """The letters of each region in each record of its name: name, region_start, region_end, letters.
+
+    ``regions`` has name, region_start, region_end; missing bounds are the record's ends, bounds outside are moved inside, and a
+    region outside altogether gives no row. Records of one name all answer; null names and sequences match nothing.
+    """
+    found = records.where(F.col(sequence).isNotNull()).select(F.col(name).alias("name"), F.regexp_replace(sequence, r"\s+", "").alias("_s")).join(regions.select("name", "region_start", "region_end"), "name")
+    n = F.length("_s").cast("long")
+    inside = found.select("name", "_s", F.greatest(F.coalesce("region_start", F.lit(1).cast("long")), F.lit(1).cast("long")).alias("region_start"), F.least(F.coalesce("region_end", n), n).alias("region_end")).where("region_start <= region_end")
+    size = (F.col("region_end") - F.col("region_start") + 1).cast("int")
+    return inside.select("name", "region_start", "region_end", F.substring(F.col("_s"), F.col("region_start").cast("int"), size).alias("letters"))
+
+
+def changes(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """What became of each key between two tables: keys, change (added, removed, changed, same), changed (names of the differing columns).
+
+    Two nulls are equal; null keys match each other. Give each key once on either side; a repeated one is compared with every
+    row of that key.
+    """
+    side = lambda df, mark: df.select(*keys, F.struct(*values).alias(mark))
+    a, b = side(before, "_a").alias("a"), side(after, "_b").alias("b")
+    same_key = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = a.join(b, same_key, "full").select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), "_a", "_b")
+    differing = F.filter(F.array(*(F.when(~F.col(f"_a.{v}").eqNullSafe(F.col(f"_b.{v}")), F.lit(v)) for v in values)), lambda x: x.isNotNull())
+    paired = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    named = F.when(paired, differing).otherwise(F.array().cast("array<string>"))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.size(named) > 0, "changed").otherwise("same")
+    return both.select(*keys, change.alias("change"), F.array_join(named, ",").alias("changed"))
+
+
+def edit_letters(sequence: Column, start: Column, end: Column, text: Column) -> Column:
+    """The sequence with the letters ``start`` to ``end`` replaced by ``text``; ``end`` = ``start`` - 1 inserts, an empty text deletes. A place outside 1 to n + 1 leaves it unchanged."""
+    a, b = start.cast("int"), end.cast("int")
+    fits = (a >= 1) & (b >= a - 1) & (b <= F.length(sequence))
+    return F.when(fits, F.concat(F.left(sequence, a - 1), text, F.substring(sequence, b + 1, F.length(sequence)))).otherwise(sequence)
+
+
+def moved_place(start: Column, end: Column, edit_start: Column, edit_end: Column, text: Column) -> Column:
+    """Struct (start, end) of a feature after an edit: behind it, it shifts; around it, it grows or shrinks; one that lies in replaced letters becomes null, a partly replaced one keeps its rest."""
+    by = F.length(text) - (edit_end - edit_start + 1)
+    place = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    return (
+        F.when(end < edit_start, place(start, end))
+        .when(start > edit_end, place(start + by, end + by))
+        .when((start < edit_start) & (end > edit_end), place(start, end + by))
+        .when((start >= edit_start) & (end <= edit_end), None)
+        .when(start < edit_start, place(start, edit_start - 1))
+        .otherwise(place(edit_start + F.length(text), end + by))
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
-from strandloom.operators import align, coding, design, scan, simulate
+from strandloom.operators import align, coding, design, records, scan, simulate
 from strandloom.plans.genome_queries import _CODE, _DNA, _ENZYMES, _SITES, _dna
 from strandloom.plans.registry import Registry
 from strandloom.session import table
@@ -131,3 +131,24 @@ def shuffled_records(spark: SparkSession, d: str) -> DataFrame:
     """Each DNA record with its letters in another order, and once mutated."""
     s, key = F.col("sequence"), F.col("record_id")
     return _dna(spark, d).select("record_id", simulate.shuffle_letters(s, key).alias("shuffled"), simulate.mutate(s, key, 0.02, 0.005, 0.005).alias("mutated"))
+
+
+_FIRST = r"nullif(regexp_extract(coalesce(title, ''), '^>?\s*(\S+)', 1), '')"
+
+
+@query(f"""WITH h AS (SELECT record_id, {_FIRST} AS name, regexp_replace(sequence, '\\s+', '', 'g') AS s FROM sequence_records WHERE alphabet = 'dna-rna' AND sequence IS NOT NULL), r AS (SELECT DISTINCT name FROM h WHERE name IS NOT NULL AND record_id % 100 = 0)
+SELECT name, 11 AS region_start, least(length(s), 60) AS region_end, substr(s, 11, 50) AS letters FROM h JOIN r USING (name) WHERE length(s) >= 11""")
+def fetched_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Letters 11 to 60 of all records that carry the name of every hundredth one."""
+    rows = table(spark, d, "sequence_records").where("alphabet = 'dna-rna'").withColumn("name", records.record_name(F.col("title")))
+    wanted = rows.where("record_id % 100 = 0 AND name IS NOT NULL").select(F.concat("name", F.lit(":11-60")).alias("region")).distinct()
+    return records.fetch_regions(rows, records.parse_regions(wanted))
+
+
+@query(f"""WITH h AS (SELECT {_FIRST} AS name, source_file = 'batch_00000.fasta' AS first, min(upper(sequence)) AS s, count(*) AS n FROM sequence_records GROUP BY ALL), a AS (SELECT * FROM h WHERE first), b AS (SELECT * FROM h WHERE NOT first)
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.s IS DISTINCT FROM b.s OR a.n <> b.n THEN 'changed' ELSE 'same' END AS change,
+  CASE WHEN a.n IS NULL OR b.n IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.s IS DISTINCT FROM b.s THEN 'letters' END, CASE WHEN a.n <> b.n THEN 'n' END) END AS changed FROM a FULL JOIN b ON a.name IS NOT DISTINCT FROM b.name""")
+def record_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the first file against those of all others: added, removed, with other letters or another number of records."""
+    rows = table(spark, d, "sequence_records").groupBy(records.record_name(F.col("title")).alias("name"), (F.col("source_file") == "batch_00000.fasta").alias("first")).agg(F.min(F.upper("sequence")).alias("letters"), F.count("*").alias("n"))
+    return records.changes(rows.where("first"), rows.where("NOT first"), ["name"], ["letters", "n"])

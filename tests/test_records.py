@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import records, stats
 
@@ -49,3 +50,26 @@ def test_repeated_measures(spark):
     inner = sum((x - sum(xs) / 3) ** 2 for xs in ((1, 2, 4), (2, 4, 5), (3, 3, 7)) for x in xs)
     assert (r["n_subjects"], r["df_condition"], r["df_error"]) == (3, 2, 4)
     assert r["f"] == pytest.approx((ssc / 2) / ((inner - ssc) / 4), abs=1e-3)
+
+
+def test_regions(spark):
+    regions = records.parse_regions(spark.createDataFrame([("a:2-3",), ("a",), ("b:1,0-99",), ("c:9",), (" ",), (None,)], "region string"))
+    rows = spark.createDataFrame([("a", "AC GT"), ("b", "A" * 12), ("c", "ACGT"), (None, "A"), ("a", None)], "name string, sequence string")
+    got = {tuple(r) for r in records.fetch_regions(rows, regions).collect()}
+    assert got == {("a", 2, 3, "CG"), ("a", 1, 4, "ACGT"), ("b", 10, 12, "AAA")}
+
+
+def test_changes(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 2), (None, 3), ("w", None)], "k string, v int")
+    b = spark.createDataFrame([("x", 1), ("y", 5), (None, 3), ("z", 1), ("w", None)], "k string, v int")
+    assert {tuple(r) for r in records.changes(a, b, ["k"], ["v"]).collect()} == {("x", "same", ""), ("y", "changed", "v"), (None, "same", ""), ("z", "added", ""), ("w", "same", "")}
+    assert {r["change"] for r in records.changes(a, b.where("k = 'q'"), ["k"], ["v"]).collect()} == {"removed"}
+
+
+def test_edits(spark):
+    df = spark.createDataFrame([("ACGTAC", 3, 4, "T"), ("ACGTAC", 3, 2, "TT"), ("ACGTAC", 7, 6, "G"), ("ACGTAC", 6, 9, "G"), ("", 1, 0, "A")], "s string, a int, b int, t string")
+    c = [F.col(x) for x in "sabt"]
+    assert [r[0] for r in df.select(records.edit_letters(*c)).collect()] == ["ACTAC", "ACTTGTAC", "ACGTACG", "ACGTAC", "A"]
+    places = spark.createDataFrame([(1, 2), (5, 6), (2, 5), (3, 4), (2, 3), (4, 6)], "x int, y int")
+    moved = places.select(records.moved_place(F.col("x"), F.col("y"), F.lit(3), F.lit(4), F.lit("T")).alias("m")).collect()
+    assert [m["m"] and tuple(m["m"]) for m in moved] == [(1, 2), (4, 5), (2, 4), None, (2, 2), (4, 5)]
