@@ -53,20 +53,33 @@ def nearest(query: DataFrame, reference: DataFrame, ids: Sequence[str]) -> DataF
     behind. Both come from running extremes over the record's distinct positions, taken in
     tiles of positions and over the tiles, so a record of any size is spread.
     """
-    hit = intersect(query.select("record", "start", "end", *ids), reference.select("record", "start", "end")).select(*ids).distinct().withColumn("_hit", F.lit(True))
+    hit = intersect(query.select("record", "start", "end", *ids), reference.select("record", "start", "end")).select(*ids).distinct()
+    return _distances(query, reference, ids, hit)
+
+
+def nearest_other(df: DataFrame, id_col: str) -> DataFrame:
+    """Distance of every interval to the nearest one with another id on its record: id, ``distance``; null without any."""
+    rows = df.select("record", "start", "end", id_col)
+    hit = intersect(rows, rows).where(F.col(id_col) != F.col(f"ref_{id_col}")).select(id_col).distinct()
+    return _distances(rows, rows, [id_col], hit)
+
+
+def _distances(query: DataFrame, reference: DataFrame, ids: Sequence[str], hit: DataFrame) -> DataFrame:
+    """ids, ``distance``: 0 for the ids in ``hit``, else to the last end before the start and the first start behind the end, so never to the interval itself."""
     kinds = F.array(F.struct(F.col("end").alias("pos"), F.col("end").alias("e"), F.lit(None).cast("long").alias("s")), F.struct(F.col("start").alias("pos"), F.lit(None).cast("long").alias("e"), F.col("start").alias("s")))
     refs = reference.select("record", F.explode(kinds).alias("k")).select("record", "k.pos", "k.e", "k.s")
-    places = query.select("record", F.explode(F.array("start", "end")).alias("pos"), F.lit(None).cast("long").alias("e"), F.lit(None).cast("long").alias("s"))
+    places = query.select("record", F.explode(F.array(F.col("start") - 1, F.col("end") + 1)).alias("pos"), F.lit(None).cast("long").alias("e"), F.lit(None).cast("long").alias("s"))
     points = refs.unionByName(places).groupBy("record", "pos").agg(F.max("e").alias("e"), F.min("s").alias("s")).withColumn("tile", F.shiftright("pos", 16))
     tiles = points.groupBy("record", "tile").agg(F.max("e").alias("e"), F.min("s").alias("s"))
-    over = Window.partitionBy("record").orderBy("tile")
-    tiles = tiles.select("record", "tile", F.max("e").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("e_before"), F.min("s").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("s_behind"))
-    inside = Window.partitionBy("record", "tile").orderBy("pos")
-    local = points.select("record", "tile", "pos", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("e_in"), F.min("s").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("s_in"))
+    # backward, not over following rows, which Spark would add up anew for every row
+    over, back = (Window.partitionBy("record").orderBy(o) for o in (F.asc("tile"), F.desc("tile")))
+    tiles = tiles.select("record", "tile", F.max("e").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("e_before"), F.min("s").over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("s_behind"))
+    inside, inside_back = (Window.partitionBy("record", "tile").orderBy(o) for o in (F.asc("pos"), F.desc("pos")))
+    local = points.select("record", "tile", "pos", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("e_in"), F.min("s").over(inside_back.rowsBetween(Window.unboundedPreceding, 0)).alias("s_in"))
     known = local.join(tiles, ["record", "tile"]).select("record", "pos", F.coalesce("e_in", "e_before").alias("last_end"), F.coalesce("s_in", "s_behind").alias("first_start"))
-    at_start = known.select("record", F.col("pos").alias("start"), "last_end")
-    at_end = known.select("record", F.col("pos").alias("end"), "first_start")
-    joined = query.select("record", "start", "end", *ids).join(at_start, ["record", "start"], "left").join(at_end, ["record", "end"], "left").join(hit, list(ids), "left")
+    at_start = known.select("record", (F.col("pos") + 1).alias("start"), "last_end")
+    at_end = known.select("record", (F.col("pos") - 1).alias("end"), "first_start")
+    joined = query.select("record", "start", "end", *ids).join(at_start, ["record", "start"], "left").join(at_end, ["record", "end"], "left").join(hit.withColumn("_hit", F.lit(True)), list(ids), "left")
     gap = F.least(F.col("start") - F.col("last_end"), F.col("first_start") - F.col("end"))
     return joined.select(*ids, F.when(F.col("_hit"), F.lit(0).cast("long")).otherwise(gap).alias("distance"))
 
@@ -91,6 +104,16 @@ def subtract(query: DataFrame, reference: DataFrame, ids: Sequence[str]) -> Data
     return parts.select(*ids, "record", F.greatest("start", "ref_start").alias("start"), F.least("end", "ref_end").alias("end"))
 
 
+def subtract_others(df: DataFrame, id_col: str) -> DataFrame:
+    """The parts of each interval that no interval with another id covers: id, record, start, end.
+
+    These are its overlaps with the runs of depth 1, each of which lies in one interval.
+    """
+    rows = df.select("record", "start", "end", id_col)
+    parts = intersect(rows, depth(rows, ["record"]).where("depth = 1").select("record", "start", "end"))
+    return parts.select(id_col, "record", F.greatest("start", "ref_start").alias("start"), F.least("end", "ref_end").alias("end"))
+
+
 def depth(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """Runs of equal depth above 0: keys, start, end, depth. A sweep over +1/-1 events counted per position."""
     events = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).cast("long").alias("d")), F.struct((F.col(end) + 1).alias("pos"), F.lit(-1).cast("long").alias("d")))).alias("v")).groupBy(*keys, F.col("v.pos").alias("pos")).agg(F.sum("v.d").alias("d"))

@@ -62,6 +62,46 @@ def interval_subtract(spark: SparkSession, d: str) -> DataFrame:
     return intervals.subtract(a, b, ["interval_id"])
 
 
+_ALL = _IV + ", a AS (SELECT interval_id AS ref_interval_id, record, s AS rs, e AS re FROM i)"
+
+
+def _every_interval(spark: SparkSession, d: str) -> DataFrame:
+    """All valid rows, whatever their operation."""
+    return valid_intervals(table(spark, d, "genomic_intervals"), ["record", "interval_id"]).select("interval_id", "record", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
+
+
+@query(_ALL + " SELECT interval_id, ref_interval_id, least(e, re) - greatest(s, rs) + 1 AS overlap_bp FROM i JOIN a ON i.record = a.record AND s <= re AND rs <= e WHERE interval_id < ref_interval_id AND least(e, re) - greatest(s, rs) + 1 >= 10")
+def interval_intersect_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of any two intervals that share at least 10 positions; each pair once, the smaller id first."""
+    rows = _every_interval(spark, d)
+    return intervals.intersect(rows, rows, 10).where("interval_id < ref_interval_id").select("interval_id", "ref_interval_id", "overlap_bp")
+
+
+@query(_ALL + " SELECT interval_id, ref_interval_id FROM i JOIN a ON i.record = a.record AND s <= re AND rs <= e WHERE interval_id < ref_interval_id AND least(e, re) - greatest(s, rs) + 1 >= 0.5 * (e - s + 1) AND least(e, re) - greatest(s, rs) + 1 >= 0.5 * (re - rs + 1)")
+def interval_reciprocal_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of any two intervals that share half of each; each pair once, the smaller id first."""
+    rows = _every_interval(spark, d)
+    return intervals.intersect(rows, rows, 1, 0.5).where("interval_id < ref_interval_id").select("interval_id", "ref_interval_id")
+
+
+@query()
+def interval_nearest_all(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of every interval to the nearest other one."""
+    return intervals.nearest_other(_every_interval(spark, d), "interval_id")
+
+
+@query(_IV.replace("r AS (SELECT interval_id AS ref_interval_id, record, s AS rs, e AS re FROM i WHERE operation = 'merge')", "r AS (SELECT DISTINCT record, s AS rs, e AS re FROM i)") + _ISLANDS.format(gap=100) + ' SELECT record, ms AS start, me AS "end" FROM m')
+def interval_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    """Periods of all intervals that bridge gaps of up to 100 positions."""
+    return intervals.merge(_every_interval(spark, d).select("record", "start", "end"), gap=100)
+
+
+@query()
+def interval_subtract_all(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of every interval that no other one covers."""
+    return intervals.subtract_others(_every_interval(spark, d), "interval_id")
+
+
 _SWEEP = """e AS (SELECT k, p, sum(d) AS d FROM (SELECT {k} AS k, {s} AS p, 1 AS d FROM {f} UNION ALL SELECT {k}, {e} + 1, -1 FROM {f}) GROUP BY k, p), w AS (SELECT k, p, sum(d) OVER (PARTITION BY k ORDER BY p) AS depth, lead(p) OVER (PARTITION BY k ORDER BY p) - 1 AS q FROM e)"""
 
 
