@@ -80,6 +80,7 @@ def find_orfs(df: DataFrame, record: str, sequence: str, min_codons: int = 30) -
     """Open reading frames ATG ... stop in all six frames: record, strand, frame, start, end (on the forward strand), n_codons (stop not counted).
 
     The first start of each frame's stretch between stops counts; frames that run off the end are left out.
+    Everything but nucleotide letters (layout, digits, gaps) is removed first, as in the reference; positions count the letters that remain.
     """
     turn = str.maketrans("ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN")
 
@@ -107,7 +108,7 @@ def find_orfs(df: DataFrame, record: str, sequence: str, min_codons: int = 30) -
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["record_id", "strand", "frame", "start", "end", "n_codons"])
 
-    rows = df.where(F.col(sequence).isNotNull()).select(F.col(record).cast("long").alias("record_id"), F.translate(F.upper(F.regexp_replace(sequence, r"\s+", "")), "U", "T").alias("s"))
+    rows = df.where(F.col(sequence).isNotNull()).select(F.col(record).cast("long").alias("record_id"), F.translate(F.regexp_replace(F.upper(sequence), "[^ACGTURYSWKMBDHVNX]+", ""), "U", "T").alias("s"))
     return rows.mapInArrow(scan, "record_id long, strand string, frame int, start long, end long, n_codons long")
 
 
