@@ -13,8 +13,8 @@ PHRASE = 12
 
 
 def item_terms(items: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Words of the items with their places: item_id, item_pos, term."""
-    return items.select(F.col(id_col).alias("item_id"), F.posexplode(words(F.col(text))).alias("item_pos", "term"))
+    """Words of the items with their places: item_id, item_pos, term; each once, however often an item is given."""
+    return items.select(F.col(id_col).alias("item_id"), F.posexplode(words(F.col(text))).alias("item_pos", "term")).distinct()
 
 
 def positional_index(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
