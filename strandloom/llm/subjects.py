@@ -18,8 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Columns of the document-term matrix: terms are hashed into so many buckets, which bounds the model.
 BUCKETS = 1 << 15
-#: Share of a thread's subject mass from which a subject counts; less is a remark in passing.
-THRESHOLD = 0.25
+#: Part of a thread's largest subject share from which a further subject counts; less is a remark in passing.
+#: With two subjects this is a quarter of their mass.
+RELATIVE = 1 / 3
 #: Rows factored at a time inside a task.
 BLOCK = 1000
 #: Part of a language's threads, against its most frequent term, from which a term belongs to the background.
@@ -147,7 +148,7 @@ class SubjectModel:
         return h / np.maximum(h.sum(1, keepdims=True), 1e-12)
 
     def mixtures(self, rounds: int = 20) -> DataFrame:
-        """Subject shares of each thread: thread, subject, share (of the subjects' mass; background left out)."""
+        """Subject shares of each thread: thread, subject, share (of the subjects' mass; background left out), of_largest (share / the largest one), first (the largest; of equal ones the first by name)."""
         shared, k, names = self.docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(self.h.T)), len(self.h), self.subjects
 
         def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +157,18 @@ class SubjectModel:
                 for a, n, x, cols, starts in _blocks(batch):
                     w = _update(x, cols, starts, np.full((n, k), 1 / k), shared.value, rounds)[0][:, : len(names)]
                     w = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
-                    i, j = np.nonzero(w >= 0.001)
-                    yield pa.RecordBatch.from_arrays([pa.array(threads[a + i]), pa.array(np.array(names, dtype=object)[j], pa.string()), pa.array(w[i, j])], names=["thread", "subject", "share"])
+                    first = np.arange(len(names)) == w.argmax(1)[:, None]
+                    i, j = np.nonzero((w >= 0.001) | first)
+                    of_largest = w / np.maximum(w.max(1, keepdims=True), 1e-12)
+                    yield pa.RecordBatch.from_arrays([pa.array(threads[a + i]), pa.array(np.array(names, dtype=object)[j], pa.string()), pa.array(w[i, j]), pa.array(of_largest[i, j]), pa.array(first[i, j])], names=["thread", "subject", "share", "of_largest", "first"])
 
-        return self.matrix.select("thread", "cols", "counts").mapInArrow(mix, "thread long, subject string, share double")
+        return self.matrix.select("thread", "cols", "counts").mapInArrow(mix, "thread long, subject string, share double, of_largest double, first boolean")
 
-    def of_documents(self, threshold: float = THRESHOLD) -> DataFrame:
-        """Subjects of each post with text: doc_id, subject, share. A reply has those of its thread."""
-        chosen = self.mixtures().where(F.col("share") >= threshold)
+    def of_documents(self, relative: float = RELATIVE) -> DataFrame:
+        """Subjects of each post with text: doc_id, subject, share. A reply has those of its thread.
+
+        A thread's largest share always counts, so every thread with a word has a
+        subject; others count from ``relative`` of it, if they are above an even share of all subjects.
+        """
+        chosen = self.mixtures().where(F.col("first") | ((F.col("of_largest") >= relative) & (F.col("share") > 1 / len(self.subjects)))).drop("of_largest", "first")
         return spread_join(self.posts, chosen, ["thread"], F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).select("doc_id", "subject", "share")
