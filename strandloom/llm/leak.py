@@ -40,6 +40,14 @@ def phrases(terms: DataFrame, frequencies: DataFrame, length: int) -> DataFrame:
     return ranked.select("item_id", "phrase", F.col("r")[0]["item_pos"].alias("p1"), F.col("r")[0]["term"].alias("t1"), second["item_pos"].alias("p2"), second["term"].alias("t2"))
 
 
+def anchors(terms: DataFrame, frequencies: DataFrame, length: int, count: int) -> DataFrame:
+    """The ``count`` rarest words of each run of ``length`` item words: item_id, item_pos, term. Words that the corpus lacks count among them."""
+    known = terms.join(frequencies, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    in_runs = known.select("*", F.explode(F.sequence(F.greatest(F.col("item_pos") - (length - 1), F.lit(0)), F.col("item_pos"))).alias("phrase"))
+    ranked = in_runs.groupBy("item_id", "phrase").agg(F.array_sort(F.collect_list(F.struct("n", "item_pos", "term"))).alias("r")).where(F.size("r") == length)
+    return ranked.select("item_id", F.explode(F.slice("r", 1, count)).alias("a")).select("item_id", "a.item_pos", "a.term").distinct()
+
+
 class LeakSearch:
     """Finds the places where a corpus holds passages of test items.
 
@@ -59,7 +67,8 @@ class LeakSearch:
         self.phrase = phrase
         self.terms = item_terms(items, item_id, item_text)
         self.index = positional_index(docs, doc_id, doc_text, self.terms)
-        self.phrases = written(phrases(self.terms, self.index.groupBy("term").agg(F.count("*").alias("n")), phrase))
+        self.frequencies = written(self.index.groupBy("term").agg(F.count("*").alias("n")))
+        self.phrases = written(phrases(self.terms, self.frequencies, phrase))
 
     def _candidates(self) -> DataFrame:
         """Shifts suggested by the rarest terms: doc_id, item_id, shift, p1."""
@@ -90,18 +99,24 @@ class LeakSearch:
     def near(self, slop: int = 2, least: int = 9) -> DataFrame:
         """Proximity matches: doc_id, item_id, n_words.
 
-        A document matches if the rarest term of a run of ``phrase`` item words and at
-        least ``least`` words of that run stand at shifts that differ by ``slop`` at
-        most; ``n_words`` is the most words so found for the pair.
+        A document matches if at least ``least`` words of a run of ``phrase`` item
+        words stand at shifts that differ by ``slop`` at most, whichever words they
+        are; ``n_words`` is the most words so found for the pair. Such words include
+        two of the ``phrase - least + 2`` rarest words of the run (one of the
+        ``phrase - least + 1`` rarest where ``least`` is 1), so shifts with fewer are not compared.
         """
-        hits = self._matched(self._candidates().select("doc_id", "item_id", F.explode(F.sequence(F.col("shift") - slop, F.col("shift") + slop)).alias("shift")))
+        both = min(2, least)
+        rare = written(anchors(self.terms, self.frequencies, self.phrase, self.phrase - least + both))
+        met = self.index.join(rare, "term").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        # windows of shifts upto - slop .. upto with enough of the rare words
+        windows = met.select("doc_id", "item_id", "item_pos", F.explode(F.sequence(F.col("shift"), F.col("shift") + slop)).alias("upto")).groupBy("doc_id", "item_id", "upto").agg(F.min("item_pos").alias("a"), F.max("item_pos").alias("b"))
+        kept = windows if both == 1 else windows.where("a < b")
+        hits = self._matched(kept.select("doc_id", "item_id", F.explode(F.sequence(F.col("upto") - slop, F.col("upto"))).alias("shift"))).distinct()
         spread = hits.select(
             "doc_id",
             "item_id",
             "item_pos",
             F.explode(F.sequence(F.col("shift"), F.col("shift") + slop)).alias("upto"),
-        ).select("*", F.explode(F.sequence(F.col("item_pos") - (self.phrase - 1), F.col("item_pos"))).alias("phrase"))
-        counted = spread.groupBy("doc_id", "item_id", "upto", "phrase").agg(F.size(F.collect_set("item_pos")).cast("long").alias("n_words"), F.collect_set("item_pos").alias("places"))
-        rarest = self.phrases.select("item_id", "phrase", "p1").distinct()
-        good = counted.where(F.col("n_words") >= least).join(rarest, ["item_id", "phrase"]).where(F.array_contains("places", F.col("p1")))
-        return good.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+        ).select("*", F.explode(F.sequence(F.greatest(F.col("item_pos") - (self.phrase - 1), F.lit(0)), F.col("item_pos"))).alias("phrase"))
+        counted = spread.groupBy("doc_id", "item_id", "upto", "phrase").agg(F.count_distinct("item_pos").alias("n_words"))
+        return counted.where(F.col("n_words") >= least).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

@@ -154,7 +154,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query()
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with at least 9 of 12 consecutive item words, the rarest among them, within two places of their order."""
+    """Documents with at least 9 of 12 consecutive item words, whichever they are, within two places of their order."""
     return _leaks(spark, d).near()
 
 
