@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from itertools import combinations
+from math import comb
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,9 @@ from strandloom.functions.exprs import is_missing, number
 from strandloom.functions.special import chi2_p, f_p, fisher_p, normal_p, t_p
 from strandloom.operators.profile import average_ranks
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _one(df: DataFrame) -> DataFrame:
     """A one-row table with a constant key, to put one-row tables beside each other."""
     return df.withColumn("_one", F.lit(1))
@@ -218,23 +226,71 @@ def principal_components(df: DataFrame, columns: Sequence[Column], ids: Sequence
     return rows.select(*ids, *scores)
 
 
-def permutation_test(df: DataFrame, group: str, value: str, a: str, b: str, key: Sequence[str], draws: int = 99, seed: int = 1) -> DataFrame:
-    """Two-group permutation test of the difference of means by seeded random relabelling.
+#: Arrangements up to which the permutation test enumerates all of them, and the most random draws, as in the reference.
+MOST_EXACT, MOST_DRAWS = 10_000, 100_000
+
+
+def _exact_permutations(values: np.ndarray, n_a: int) -> np.ndarray:
+    """Differences of the means of all arrangements of ``values``, whose first ``n_a`` are group a."""
+    n = len(values)
+    small = min(n_a, n - n_a)
+    sums = np.array([values[list(chosen)].sum() for chosen in combinations(range(n), small)])
+    if small < n_a:
+        sums = values.sum() - sums
+    return sums / n_a - (values.sum() - sums) / (n - n_a)
+
+
+def permutation_test(df: DataFrame, group: str, value: str, a: str, b: str, key: Sequence[str], draws: int = 5000, seed: int = 1) -> DataFrame:
+    """Two-group permutation test of the difference of means: difference, draws, extreme, p (two-sided); no rows if a group is empty.
 
-    A hash of each row's ``key`` and the draw puts the row into group a with a's
-    share, so sizes of relabelled groups vary around the true ones. All draws are
-    one pass. p = (extreme + 1) / (draws + 1), two-sided; no rows if a group is empty.
+    Up to ``MOST_EXACT`` arrangements are all enumerated and p = extreme / draws; else
+    ``draws`` seeded relabellings that keep both group sizes give p = (extreme + 1) / (draws + 1).
+    Rows fall into buckets by a hash of ``key``; per draw, group a is divided among the
+    buckets as sampling without replacement does (multivariate hypergeometric), and each
+    bucket chooses its part at random, so every arrangement is equally likely. Tasks
+    add their buckets' sums per draw. A bucket is held by one task; there are 1,024 at most. Below a billion rows.
     """
+    draws = max(1, min(MOST_DRAWS, draws))
     side = F.col(group).cast("string")
     rows = df.where(side.isin(a, b)).select(side.alias("g"), number(df, value).alias("x"), F.xxhash64(F.lit(seed), *key).alias("_id")).where("x IS NOT NULL")
-    m = rows.agg(F.count_if(F.col("g") == a).alias("n_a"), F.count("*").alias("n"), F.avg(F.when(F.col("g") == a, F.col("x"))).alias("mean_a"), F.avg(F.when(F.col("g") == b, F.col("x"))).alias("mean_b")).first()
-    if not m["n_a"] or m["n_a"] == m["n"]:
-        return df.sparkSession.createDataFrame([], "difference double, draws int, extreme bigint, p double")
-    limit, observed = int(m["n_a"] / m["n"] * (1 << 40)), m["mean_a"] - m["mean_b"]
-    drawn = lambda k: F.pmod(F.xxhash64(F.lit(k), "_id"), F.lit(1 << 40)) < limit
-    diffs = rows.agg(*((F.avg(F.when(drawn(k), F.col("x"))) - F.avg(F.when(~drawn(k), F.col("x")))).alias(f"d{k}") for k in range(draws)))
-    each = diffs.select(F.explode(F.array(*(F.col(f"d{k}") for k in range(draws)))).alias("d"))
-    done = each.agg(F.count_if(F.abs("d") >= abs(observed) - 1e-12).alias("extreme"))
+    m = rows.agg(F.count_if(F.col("g") == a).alias("n_a"), F.count("*").alias("n"), F.avg(F.when(F.col("g") == a, F.col("x"))).alias("mean_a"), F.avg(F.when(F.col("g") == b, F.col("x"))).alias("mean_b"), F.avg("x").alias("mean"), F.avg(F.abs("x")).alias("size")).first()
+    spark, schema = df.sparkSession, "difference double, draws int, extreme bigint, p double"
+    n_a, n = m["n_a"], m["n"]
+    if not n_a or n_a == n:
+        return spark.createDataFrame([], schema)
+    observed = m["mean_a"] - m["mean_b"]
+    # sums in another order differ in the last places
+    limit = abs(observed) - 1e-12 - 1e-11 * m["size"]
+    if n <= MOST_EXACT and comb(n, n_a) <= MOST_EXACT:
+        values = np.array([r["x"] for r in rows.orderBy(F.col("g") != a, "_id", "x").select("x").collect()])
+        nulls = _exact_permutations(values, n_a)
+        extreme = int((np.abs(nulls) >= limit).sum())
+        return spark.createDataFrame([(round(observed, 6), len(nulls), extreme, round(extreme / len(nulls), 6))], schema)
+    buckets = max(1, min(1024, n // 4096, 8_000_000 // draws))
+    placed = rows.select(F.pmod("_id", F.lit(buckets)).cast("int").alias("bucket"), "_id", (F.col("x") - F.lit(m["mean"])).alias("x"))
+    sizes = np.zeros(buckets, dtype=np.int64)
+    for r in placed.groupBy("bucket").agg(F.count("*").alias("n")).collect():
+        sizes[r["bucket"]] = r["n"]
+    parts = np.random.default_rng([seed]).multivariate_hypergeometric(sizes, n_a, size=draws, method="marginals").astype(np.int32)
+    shared = spark.sparkContext.broadcast(parts)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, used = np.zeros(draws), False
+        for batch in batches:
+            for bucket, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x, rng, used = cell.values.field("x").to_numpy(zero_copy_only=False).copy(), np.random.default_rng([seed, bucket]), True
+                for k, count in enumerate(shared.value[:, bucket]):
+                    rng.shuffle(x)
+                    sums[k] += x[:count].sum()
+        if used:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.array(sums)], names=["draw", "sum"])
+
+    tasks = min(buckets, 4 * spark.sparkContext.defaultParallelism)
+    held = placed.repartition(tasks, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("_id", "x"))).alias("xs"))
+    each = held.mapInArrow(draw, "draw int, sum double").groupBy("draw").agg(F.sum("sum").alias("s"))
+    # centred values add up to nothing, so group b has -s
+    diff = F.abs(F.col("s") / n_a + F.col("s") / (n - n_a))
+    done = each.agg(F.count_if(diff >= limit).alias("extreme"))
     return done.select(F.round(F.lit(observed), 6).alias("difference"), F.lit(draws).alias("draws"), "extreme", F.round((F.col("extreme") + 1) / (draws + 1), 6).alias("p"))
 
 
