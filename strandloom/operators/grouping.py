@@ -57,12 +57,13 @@ def with_group_figures(df: DataFrame, keys: Sequence[str], salt: Column, partial
     """Joins group-wide aggregates to every row, a hot group being spread over its salts.
 
     ``partial`` aggregates per (keys, salt), ``total`` combines those columns per
-    key. The totals go back first to the (keys, salt) pairs, a table with at most
-    one row per salt and group, and from there to the rows, so no task receives
-    more than a salt's part of a group. Rows whose key is null are dropped.
+    key, over the at most one row per salt that a group then has. The totals go
+    from the (keys, salt) pairs to the rows, so no task receives more than a
+    salt's part of a group. Rows whose key is null are dropped. ``df`` is read
+    twice, for the aggregates and for the rows: pass a written table if it is costly.
     """
     salted = df.withColumn("_salt", salt)
     parts = salted.groupBy(*keys, "_salt").agg(*(c.alias(n) for n, c in partial.items()))
-    sums = parts.groupBy(*keys).agg(*(c.alias(n) for n, c in total.items()))
-    spread = parts.select(*keys, "_salt").join(sums, list(keys))
+    salts = Window.partitionBy(*keys)
+    spread = parts.select(*keys, "_salt", *(c.over(salts).alias(n) for n, c in total.items()))
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")

@@ -37,8 +37,8 @@ def periods_and_gaps(intervals: DataFrame, keys: Sequence[str], start: str = "se
 
     Returns keys, ``kind`` (period or gap), ``seg_start``, ``seg_end``. Intervals
     are closed and whole-numbered; touching ones are continuous. No valid
-    interval gives no rows; repeated rows change nothing. The possible boundaries are
-    written to the shared folder once, since three later steps read them. Input rows must have
+    interval gives no rows; repeated rows change nothing. The counted positions and the possible boundaries are
+    each written to the shared folder once, since three later steps read them. Input rows must have
     non-null bounds with start <= end (see ``valid_intervals``).
     """
     keys = list(keys)
@@ -47,6 +47,7 @@ def periods_and_gaps(intervals: DataFrame, keys: Sequence[str], start: str = "se
         .groupBy(*keys, F.col("e.pos").alias("pos"))
         .agg(F.sum("e.opens").cast("long").alias("starts"), F.sum(1 - F.col("e.opens")).cast("long").alias("ends"))
     )
+    events = written(events)  # running totals read them once per level
     # an opening needs as many ends as starts before it, a closing as many up to it; no other position can bound a gap
     ranked = running_totals(events, keys, "pos", ["starts", "ends"]).withColumns(
         {"opens": F.expr("starts > 0 AND starts_upto - starts = ends_upto - ends"), "closes": F.expr("ends > 0 AND starts_upto = ends_upto")}
