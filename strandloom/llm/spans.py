@@ -23,6 +23,8 @@ SEED = 24
 #: Letters of text that should stream through one automaton; its passages are cut from the same text.
 SHARD_LETTERS = 400_000
 SALTS = 64
+#: Letters that a task cuts at a time; a longer text makes a block of its own.
+BLOCK_LETTERS = 1_000_000
 
 
 def seed_hashes(codes: np.ndarray, k: int) -> np.ndarray:
@@ -55,37 +57,51 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(m[:-rest], m[rest:]) if len(m) > rest else m[:0]) if rest else m
 
 
-def stretches(span: int, seed: int, with_text: bool):
-    """For ``mapInArrow``: (row, text) to runs of windows with one seed hash: row, first (window, from 0), seed, and the letters of the run."""
+def stretches(span: int, seed: int):
+    """For ``mapInArrow``: (row, text) to runs of windows with one seed hash: row, first (window, from 0), n (windows), seed. Texts have ``span`` letters at least.
+
+    The texts of a block lie behind one another in one array, so the kernels run once per block.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            out_row, out_first, out_seed, out_text, held = [], [], [], [], 0
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            block = np.cumsum(sizes) // BLOCK_LETTERS
+            edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                codes = np.frombuffer("".join(texts[i:j]).encode("utf-32-le"), np.uint32)
+                ends = np.cumsum(sizes[i:j])
+                starts = ends - sizes[i:j]
+                m = window_minima(seed_hashes(codes, seed), span - seed + 1)
+                fresh = np.empty(len(m), bool)
+                fresh[0] = True
+                np.not_equal(m[1:], m[:-1], out=fresh[1:])
+                fresh[starts] = True
+                if span > 1:  # windows that reach into the next text
+                    fresh[(ends[:-1, None] - np.arange(1, span)).ravel()] = False
+                firsts = np.flatnonzero(fresh)
+                of = np.searchsorted(ends, firsts, side="right")
+                n = np.minimum(np.append(firsts[1:], len(m)), ends[of] - span + 1) - firsts
+                columns = [pa.array(rows[i:j][of]), pa.array((firsts - starts[of]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m[firsts].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "first", "n", "seed"])
+
+    return cut
 
-            def packed() -> pa.RecordBatch:
-                columns = [pa.array(np.concatenate(out_row)), pa.array(np.concatenate(out_first)), pa.array(np.concatenate(out_seed))]
-                names = ["row", "first", "seed"]
-                return pa.RecordBatch.from_arrays(columns + [pa.array(out_text, pa.string())] * with_text, names=names + ["stretch"] * with_text)
 
-            for row, text in zip(rows, texts, strict=True):
-                if len(text) < span:
-                    continue
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                m = window_minima(seed_hashes(codes, seed), span - seed + 1)
-                firsts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-                out_row.append(np.full(len(firsts), row, np.int64))
-                out_first.append(firsts.astype(np.int64))
-                out_seed.append(m[firsts].view(np.int64))
-                held += len(firsts)
-                if with_text:
-                    ends = np.append(firsts[1:], len(m)) + span - 1
-                    out_text.extend(text[a:b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True))
-                if held > 50_000:
-                    yield packed()
-                    out_row, out_first, out_seed, out_text, held = [], [], [], [], 0
-            if held:
-                yield packed()
+def cut_out(span: int):
+    """For ``mapInArrow``: (row, text, [(first, n, seed, letters)]) to one row per stretch with its letters."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(1).to_pylist(), batch.column(2)
+            each = lists.flatten()
+            sizes = np.asarray(lists.value_lengths())
+            first, n = (each.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n"))
+            of = np.repeat(np.arange(len(texts)), sizes)
+            parts = [texts[i][a:b] for i, a, b in zip(of.tolist(), first.tolist(), (first + n + span - 1).tolist(), strict=True)]
+            columns = [pa.array(batch.column(0).to_numpy(zero_copy_only=False)[of]), pa.array(first), each.field("seed"), each.field("letters"), pa.array(parts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "first", "seed", "letters", "stretch"])
 
     return cut
 
@@ -135,9 +151,12 @@ def shared_spans(texts: DataFrame, patterns: DataFrame, span: int = 50, seed: in
     1. Each window of ``span`` letters is filed under the smallest hash of its
        ``seed``-letter parts; equal windows get equal seeds. Neighbouring windows
        of one seed form a stretch, the unit that moves.
-    2. Passages are confirmed: a stretch or window counts if it occurs in two
-       different rows (or a row and a pattern). Seeds that occur in one row only
-       drop out first; exact copies of a stretch are counted before the shuffle.
+       Stretches are written once as numbers (row, place, size, seed); their letters
+       stay where they are.
+    2. Seeds that occur in one row only drop out; the rows of a hot seed are split by
+       Spark's skew join. Each text that is left is shuffled once, by row, and its
+       stretches are cut out. Passages are confirmed: a stretch or window counts if it
+       occurs in two different rows (or a row and a pattern).
     3. Passages are compiled into Aho-Corasick automata sharded by seed, and all
        stretches filed under a shard's seeds stream through its automaton.
 
@@ -147,23 +166,20 @@ def shared_spans(texts: DataFrame, patterns: DataFrame, span: int = 50, seed: in
 
     Returns ``row``, ``span_start``, ``span_end``, 1-based and inclusive in the text
     without white space. Null and short texts give no rows; a row that repeats only
-    itself shares nothing.
+    itself shares nothing. Rows of one number must have one text.
     """
     rows = texts.select(F.col(texts.columns[0]).cast("long").alias("row"), without_space(F.col(texts.columns[1])).alias("text"))
     ids = patterns.select(without_space(F.col(patterns.columns[0])).alias("text")).where("text IS NOT NULL").distinct()
     others = ids.select((-1 - F.shiftright(F.xxhash64("text"), 1).bitwiseAND(F.lit((1 << 62) - 1))).alias("row"), "text")
     source = rows.unionByName(others).where(F.length("text") >= span)
-    cut = source.mapInArrow(stretches(span, seed, True), "row long, first long, seed long, stretch string")
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
-    counted = with_group_figures(
-        cut,
-        ["seed"],
-        salt,
-        {"low_part": F.min("row"), "high_part": F.max("row"), "letters_part": F.sum(F.length("stretch"))},
-        {"low": F.min("low_part"), "high": F.max("high_part"), "letters": F.sum("letters_part")},
-    )
+    cut = written(source.mapInArrow(stretches(span, seed), "row long, first int, n int, seed long"))
+    letters = F.sum(F.col("n").cast("long") + (span - 1))
+    seeds = cut.groupBy("seed").agg(F.min("row").alias("low"), F.max("row").alias("high"), letters.alias("letters")).where("low <> high").select("seed", "letters")
+    # stretches of a row are bounded by its length
+    kept = cut.join(seeds, "seed").groupBy("row").agg(F.collect_list(F.struct("first", "n", "seed", "letters")).alias("kept"))
+    repeated = written(source.join(kept, "row").select("row", "text", "kept").mapInArrow(cut_out(span), "row long, first int, seed long, letters long, stretch string"))
     columns = ["row", "first", "seed", "letters", "stretch"]
-    repeated = written(counted.where("low <> high").select(*columns))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
     pieces = F.transform(F.regexp_extract_all("stretch", F.lit(f"(?s)(?=(.{{{span}}}))."), F.lit(1)), lambda w, i: F.struct(i.alias("i"), w.alias("w")))  # all windows in one pass
     hot = F.col("letters") > SHARD_LETTERS
     refiled = repeated.where(hot).select("row", "first", F.explode(pieces).alias("p")).select("row", (F.col("first") + F.col("p.i")).alias("first"), F.xxhash64("p.w").alias("seed"), F.col("p.w").alias("stretch"))
@@ -178,7 +194,8 @@ def shared_spans(texts: DataFrame, patterns: DataFrame, span: int = 50, seed: in
 
     # passages: whole stretches found in two rows, and windows of stretches whose seed has others
     distinct = filed.groupBy("seed", "stretch").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.max("letters").alias("letters"))
-    counts = with_group_figures(distinct, ["seed"], F.pmod(F.xxhash64("stretch"), F.lit(SALTS)), {"n_part": F.count("*")}, {"n_texts": F.sum("n_part")})
+    # a seed has SHARD_LETTERS of text at most here, or is the hash of its one text
+    counts = distinct.withColumn("n_texts", F.count("*").over(Window.partitionBy("seed")))
     whole = counts.where("n_texts = 1 AND low <> high").select("seed", "letters", F.col("stretch").alias("passage"))
     windows = (
         counts.where("n_texts > 1")
