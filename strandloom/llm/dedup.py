@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.words import words
-from strandloom.operators.grouping import with_group_figures
+from strandloom.operators.grouping import spread_join, with_group_figures
 from strandloom.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,8 +47,31 @@ def multiset_hash(pairs: Sequence[tuple[str, Column]], lane: int) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def same_multiset(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether two arrays hold the same values equally often, by counting, without sorting."""
-    return pd.Series([x is y or (len(x) == len(y) and (Counter(x) == Counter(y))) for x, y in zip(a, b, strict=True)])
+    """Whether two arrays hold the same values equally often, by counting, without sorting; false for nulls."""
+    return pd.Series([x is not None and y is not None and len(x) == len(y) and Counter(x) == Counter(y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def _normal(df: DataFrame) -> DataFrame:
+    """(record_id, _sequence, _title) with ``seq`` and ``words`` in place of the texts, and the fingerprint fp1, fp2."""
+    keep = [c for c in df.columns if c not in ("_sequence", "_title")]
+    rows = df.select(*keep, letters(F.col("_sequence")).alias("seq"), words(F.col("_title")).alias("words"))
+    pairs = [("sequence", F.array("seq")), ("title", F.col("words"))]
+    return rows.withColumns({"fp1": multiset_hash(pairs, 1), "fp2": multiset_hash(pairs, 2)})
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("record_id"), F.lit(SALTS))
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """``rows`` (record_id, first_id, fp1, fp2, seq, words) with ``same``: whether they equal the first record of their fingerprint."""
+    fp = ["fp1", "fp2"]
+    first = rows.where("record_id = first_id").select(*fp, F.col("seq").alias("first_seq"), F.col("words").alias("first_words")).dropDuplicates(fp)
+    members = spread_join(rows, first, fp, _salt())  # the first record's values go once to each salt of its group
+    letter, order = F.col("seq") == F.col("first_seq"), F.col("words") == F.col("first_words")
+    sent = letter & ~order  # only titles in another order are counted in Python
+    counted = same_multiset(F.when(sent, F.col("words")), F.when(sent, F.col("first_words")))
+    return members.withColumn("same", (letter & order) | counted).drop("first_seq", "first_words")
 
 
 def hidden_duplicates(df: DataFrame, id_col: str, sequence: str, title: str) -> DataFrame:
@@ -58,9 +81,11 @@ def hidden_duplicates(df: DataFrame, id_col: str, sequence: str, title: str) ->
     order and their titles the same words equally often; case, white space,
     punctuation and the order of title fields do not count. Each normalised
     (field, value) pair is hashed, the hashes are added into a fingerprint of two
-    lanes of 61 bits, rows are grouped by fingerprint, and every member is
-    compared with the first of its group. Members that differ from it in spite of
-    an equal fingerprint are classed again by the exact values.
+    lanes of 61 bits, and rows are grouped by fingerprint. Only ids and
+    fingerprints move for that. The texts of records whose fingerprint repeats are
+    then fetched by id, and every member is compared with the first of its group.
+    Members that differ from it in spite of an equal fingerprint are compared
+    among themselves in the same way, until none is left.
 
     Returns ``keep_id`` (smallest id of the class), ``record_id`` and ``n_copies``
     (size of the class, the kept record included), for classes of two and more.
@@ -68,37 +93,22 @@ def hidden_duplicates(df: DataFrame, id_col: str, sequence: str, title: str) ->
     repeats an id counts as one more copy. A fingerprint of any number of rows is
     spread over salts. Other columns do not matter.
     """
-    rows = df.select(F.col(id_col).alias("record_id"), letters(F.col(sequence)).alias("seq"), words(F.col(title)).alias("words")).where(
-        (F.coalesce(F.col(sequence), F.lit("")) != "") & (F.coalesce(F.col(title), F.lit("")) != "")
-    )
-    pairs = [("sequence", F.array("seq")), ("title", F.col("words"))]
-    keyed = rows.withColumns({"fp1": multiset_hash(pairs, 1), "fp2": multiset_hash(pairs, 2)})
+    given = df.select(F.col(id_col).alias("record_id"), F.col(sequence).alias("_sequence"), F.col(title).alias("_title")).where("_sequence <> '' AND _title <> ''")
     fp = ["fp1", "fp2"]
-    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS))
-    grouped = written(
-        with_group_figures(
-            keyed,
-            fp,
-            salt,
-            {"first_part": F.min("record_id"), "n_part": F.count("*")},
-            {"first_id": F.min("first_part"), "n_fp": F.sum("n_part")},
-        )
-        .where("n_fp > 1")
-        .withColumn("salt", salt)
-    )
-    # the first record's values go once to each salt in which its group has rows
-    first = grouped.where("record_id = first_id").select(*fp, F.col("seq").alias("first_seq"), F.col("words").alias("first_words")).dropDuplicates(fp)
-    spread = grouped.groupBy(*fp, "salt").agg(F.count("*").alias("_n")).drop("_n").join(first, fp)
-    members = grouped.join(spread, [*fp, "salt"])
-    checked = members.withColumn("same", (F.col("seq") == F.col("first_seq")) & ((F.col("words") == F.col("first_words")) | same_multiset("words", "first_words")))
-    exact = F.when(F.col("same"), F.lit(None)).otherwise(F.to_json(F.struct("seq", F.array_sort("words").alias("words"))))
-    classed = checked.select(*fp, "record_id", exact.alias("other_class"))
-    # classes inside a fingerprint: null for the first record's, the exact values for the rest
-    sizes = with_group_figures(
-        classed.withColumn("other_class", F.coalesce("other_class", F.lit(""))),
-        [*fp, "other_class"],
-        salt,
-        {"first_part": F.min("record_id"), "n_part": F.count("*")},
-        {"keep_id": F.min("first_part"), "n_copies": F.sum("n_part")},
-    )
-    return sizes.where("n_copies > 1").select("keep_id", "record_id", "n_copies")
+    keys = written(_normal(given).select("record_id", *fp))
+    groups = keys.groupBy(*fp).agg(F.min("record_id").alias("first_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    repeated = written(spread_join(keys, groups, fp, _salt()).distinct())
+    # an id given twice with other texts has other fingerprints
+    wanted = repeated.select("record_id", F.col("fp1").alias("_fp1"), F.col("fp2").alias("_fp2"), "first_id", "n_copies")
+    rows = written(_normal(given.join(wanted, "record_id")).where("fp1 = _fp1 AND fp2 = _fp2").drop("_fp1", "_fp2"))
+    rest = written(_compared(rows).where("NOT same").drop("same"))
+    if not rest.take(1):
+        return rows.select(F.col("first_id").alias("keep_id"), "record_id", "n_copies")
+    classed = _compared(rows).where("same").select("record_id", "first_id", *fp)
+    while rest.take(1):
+        least = rest.groupBy(*fp).agg(F.min("record_id").alias("first_id"))
+        again = _compared(spread_join(rest.drop("first_id"), least, fp, _salt()))
+        classed = classed.unionByName(again.where("same").select("record_id", "first_id", *fp))
+        rest = written(again.where("NOT same").drop("same"))
+    sizes = with_group_figures(classed, ["first_id", *fp], _salt(), {"n_part": F.count("*")}, {"n": F.sum("n_part")})
+    return sizes.where("n > 1").select(F.col("first_id").alias("keep_id"), "record_id", F.col("n").alias("n_copies"))
