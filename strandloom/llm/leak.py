@@ -20,8 +20,8 @@ def item_terms(items: DataFrame, id_col: str, text: str) -> DataFrame:
 def positional_index(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
     """The postings (term, doc_id, pos) of all terms of interest, written once, sorted by term in each file.
 
-    Each task writes the postings of its own documents, so nothing is shuffled; later
-    reads skip by term. ``terms`` has one column ``term``.
+    Each task writes the postings of its own documents, so nothing is shuffled.
+    ``terms`` has one column ``term``.
     """
     tokens = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text))).alias("pos", "term"))
     return written(tokens.join(terms.select("term").distinct(), "term", "left_semi").sortWithinPartitions("term"))
@@ -51,11 +51,14 @@ def anchors(terms: DataFrame, frequencies: DataFrame, length: int, count: int) -
 class LeakSearch:
     """Finds the places where a corpus holds passages of test items.
 
-    Postings of the items' vocabulary are stored once. Every run of ``phrase`` item
+    Postings of the items' vocabulary are stored once, and a search takes those of the
+    terms that it looks up from them in one read. Every run of ``phrase`` item
     words is looked up by its rarest term: each posting gives the offset at which
     the item would have to lie in the document (``shift`` = document place - item
     place). The postings of the second rarest term, adjusted by their offset, are
-    intersected with these; what remains is compared on all words of the item.
+    intersected with these; what remains is compared on all words of the item with
+    the texts of the few documents that are left. A hot term's postings are spread
+    by Spark's skew join where its items are too many to broadcast.
 
     Whole texts and all documents are searched. Null texts, and items of fewer
     than ``phrase`` words, match nothing; a repeated document or item changes nothing.
@@ -65,28 +68,31 @@ class LeakSearch:
 
     def __init__(self, docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, phrase: int = PHRASE) -> None:
         self.phrase = phrase
+        self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
         self.terms = item_terms(items, item_id, item_text)
         self.index = positional_index(docs, doc_id, doc_text, self.terms)
         self.frequencies = written(self.index.groupBy("term").agg(F.count("*").alias("n")))
         self.phrases = written(phrases(self.terms, self.frequencies, phrase))
 
-    def _candidates(self) -> DataFrame:
-        """Shifts suggested by the rarest terms: doc_id, item_id, shift, p1."""
-        rarest = self.phrases.select("item_id", "p1", F.col("t1").alias("term")).distinct()
-        return self.index.join(rarest, "term").select("doc_id", "item_id", (F.col("pos") - F.col("p1")).alias("shift"), "p1")
+    def _postings(self, terms: DataFrame) -> DataFrame:
+        """The postings of the looked-up terms, read from the index once."""
+        return written(self.index.join(terms.select("term").distinct(), "term", "left_semi"))
 
     def _matched(self, candidates: DataFrame) -> DataFrame:
         """The item words found at each candidate shift: doc_id, item_id, shift, item_pos."""
         places = written(candidates.select("doc_id", "item_id", "shift").distinct())
-        index = self.index.join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+        few = self.docs.join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+        tokens = few.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
         wanted = places.join(self.terms, "item_id").withColumn("pos", F.col("shift") + F.col("item_pos"))
-        return wanted.join(index, ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "item_pos")
+        return wanted.join(tokens, ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "item_pos")
 
     def exact(self) -> DataFrame:
         """Longest runs of consecutive words shared by a document and an item: doc_id, item_id, doc_pos, item_pos, n_words (>= phrase)."""
+        postings = self._postings(self.phrases.select(F.explode(F.array("t1", "t2")).alias("term")))
+        rarest = self.phrases.select("item_id", "p1", F.col("t1").alias("term")).distinct()
         pairs = self.phrases.select("item_id", "p1", "p2", F.col("t2").alias("term")).distinct()
-        found = self._candidates()
-        both = found.join(pairs, ["item_id", "p1"]).withColumn("pos", F.col("shift") + F.col("p2")).join(self.index.select("doc_id", "pos", "term"), ["doc_id", "pos", "term"])
+        found = postings.join(rarest, "term").select("doc_id", "item_id", (F.col("pos") - F.col("p1")).alias("shift"), "p1")
+        both = found.join(pairs, ["item_id", "p1"]).withColumn("pos", F.col("shift") + F.col("p2")).join(postings.select("doc_id", "pos", "term"), ["doc_id", "pos", "term"])
         order = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos")
         runs = self._matched(both).withColumn("run", F.col("item_pos") - F.dense_rank().over(order))
         return (
@@ -107,7 +113,7 @@ class LeakSearch:
         """
         both = min(2, least)
         rare = written(anchors(self.terms, self.frequencies, self.phrase, self.phrase - least + both))
-        met = self.index.join(rare, "term").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        met = self._postings(rare).join(rare, "term").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
         # windows of shifts upto - slop .. upto with enough of the rare words
         windows = met.select("doc_id", "item_id", "item_pos", F.explode(F.sequence(F.col("shift"), F.col("shift") + slop)).alias("upto")).groupBy("doc_id", "item_id", "upto").agg(F.min("item_pos").alias("a"), F.max("item_pos").alias("b"))
         kept = windows if both == 1 else windows.where("a < b")
