@@ -98,9 +98,10 @@ def hidden_duplicates(df: DataFrame, id_col: str, sequence: str, title: str) ->
     keys = written(_normal(given).select("record_id", *fp))
     groups = keys.groupBy(*fp).agg(F.min("record_id").alias("first_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
     repeated = written(spread_join(keys, groups, fp, _salt()).distinct())
-    # an id given twice with other texts has other fingerprints
+    # an id given twice with other texts has other fingerprints; as a difference, since Spark would take an
+    # equality for a join key and normalise every text for it
     wanted = repeated.select("record_id", F.col("fp1").alias("_fp1"), F.col("fp2").alias("_fp2"), "first_id", "n_copies")
-    rows = written(_normal(given.join(wanted, "record_id")).where("fp1 = _fp1 AND fp2 = _fp2").drop("_fp1", "_fp2"))
+    rows = written(_normal(given.join(wanted, "record_id")).where("fp1 - _fp1 = 0 AND fp2 - _fp2 = 0").drop("_fp1", "_fp2"))
     rest = written(_compared(rows).where("NOT same").drop("same"))
     if not rest.take(1):
         return rows.select(F.col("first_id").alias("keep_id"), "record_id", "n_copies")
