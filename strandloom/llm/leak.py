@@ -18,13 +18,13 @@ def item_terms(items: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def positional_index(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
-    """The postings (term, doc_id, pos) of all terms of interest, written once, sorted by term in each file.
+    """The postings (term, doc_id, pos) of all terms of interest, written once, in the order of the documents.
 
     Each task writes the postings of its own documents, so nothing is shuffled.
     ``terms`` has one column ``term``.
     """
     tokens = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text))).alias("pos", "term"))
-    return written(tokens.join(terms.select("term").distinct(), "term", "left_semi").sortWithinPartitions("term"))
+    return written(tokens.join(terms.select("term").distinct(), "term", "left_semi"))
 
 
 def phrases(terms: DataFrame, frequencies: DataFrame, length: int) -> DataFrame:
