@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import sys
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +18,17 @@ from strandloom.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Columns of the document-term matrix: terms are hashed into so many buckets, which bounds the model.
+#: Columns of the document-term matrix, unless given: terms are hashed into so many buckets, which bounds the model.
 BUCKETS = 1 << 15
 #: Part of a thread's largest subject share from which a further subject counts; less is a remark in passing.
 #: With two subjects this is a quarter of their mass.
 RELATIVE = 1 / 3
-#: Rows factored at a time inside a task.
-BLOCK = 1000
+#: Rows factored at a time inside a task, and entries they may have together.
+BLOCK, CELLS = 256, 40_000
+#: Smallest divisor, and the move of a share below which a row's mixture is settled.
+TINY, SETTLED = np.float32(1e-12), 1e-4
+#: Part of a component's mass whose move between two passes still counts as a change.
+MOVED = 0.01
 #: Part of a language's threads, against its most frequent term, from which a term belongs to the background.
 COMMON = 0.3
 #: How often a question's tags count.
@@ -36,7 +42,11 @@ _LINK_TAG = r"https?://\S+|<[^>]*>"
 
 def prose(text: Column) -> Column:
     """A post without code, quotations, links and tags."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _CODE, " "), _QUOTE, " "), _LINK_TAG, " ")
+    # a pattern runs only over texts that have a character with which it begins
+    has = lambda *parts: reduce(operator.or_, (F.contains(text, F.lit(p)) for p in parts))
+    plain = F.when(has("`", "<"), F.regexp_replace(text, _CODE, " ")).otherwise(text)
+    quoted = F.when(has(">", "&gt;", "<"), F.regexp_replace(plain, _QUOTE, " ")).otherwise(plain)
+    return F.when(has("://", "<"), F.regexp_replace(quoted, _LINK_TAG, " ")).otherwise(quoted)
 
 
 def terms(text: Column) -> Column:
@@ -44,25 +54,37 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def _update(x: np.ndarray, cols: np.ndarray, starts: np.ndarray, w: np.ndarray, h_t: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Multiplicative updates of the row mixtures ``w`` with fixed components; returns them with the rows' numbers and the last ratios."""
-    rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
-    h = h_t[cols]
+def _update(x: np.ndarray, h: np.ndarray, w: np.ndarray, rounds: int, settled: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Multiplicative updates of the row mixtures ``w`` with fixed components, until no share moves by more than ``settled``; returns them and the last ratios.
+
+    ``x`` is rows x entries, ``h`` rows x entries x components; entries that fill up a row are 0 in x and change nothing.
+    """
     for _ in range(rounds):
-        ratio = x / (np.einsum("ij,ij->i", w[rows], h) + 1e-12)
-        w = w * np.add.reduceat(ratio[:, None] * h, starts, axis=0)
-        w /= np.maximum(w.sum(1, keepdims=True), 1e-12)
-    return w, rows, x / (np.einsum("ij,ij->i", w[rows], h) + 1e-12)
+        ratio = x / (np.matmul(h, w[:, :, None])[:, :, 0] + TINY)
+        new = w * np.matmul(ratio[:, None, :], h)[:, 0, :]
+        new /= np.maximum(new.sum(1, keepdims=True), TINY)
+        moved, w = np.abs(new - w).max(), new
+        if moved <= settled:
+            break
+    return w, x / (np.matmul(h, w[:, :, None])[:, :, 0] + TINY)
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows first to last of (key, cols, counts), with the flat matrix entries; rows have at least one entry each."""
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of rows of (key, cols, counts) of similar size: their numbers, counts and cols, both filled up with zeros, and where they are filled."""
     cols, counts = batch.column(1), batch.column(2)
-    for a in range(0, batch.num_rows, BLOCK):
-        n = min(BLOCK, batch.num_rows - a)
-        c, v = cols.slice(a, n), counts.slice(a, n)
-        sizes = np.asarray(c.value_lengths())
-        yield a, n, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), c.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    sizes = np.asarray(cols.value_lengths())
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    flat, values = cols.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    order, a = np.argsort(sizes, kind="stable"), 0
+    while a < len(order):
+        n = min(len(order) - a, BLOCK)
+        while n > 1 and n * sizes[order[a + n - 1]] > CELLS:
+            n = max(1, n // 2)
+        rows, a = order[a : a + n], a + n
+        place = np.arange(sizes[rows[-1]])
+        inside = place[None, :] < sizes[rows, None]
+        at = np.where(inside, starts[rows, None] + place, 0)
+        yield rows, np.where(inside, values[at], np.float32(0)), np.where(inside, flat[at], 0), inside
 
 
 class SubjectModel:
@@ -74,7 +96,9 @@ class SubjectModel:
     one background component per language. W and H are then updated in turn by
     multiplicative non-negative rules (Kullback-Leibler) over all rows: tasks sum
     their parts of the update per bucket, Spark adds them, and the driver keeps H
-    only, of (subjects + languages) x ``BUCKETS`` numbers at any size of corpus.
+    only, of (subjects + languages) x ``buckets`` numbers at any size of corpus. A row
+    starts each pass from an even mixture, so that no mixtures are stored between
+    passes; passes end when no component moves by more than ``MOVED``, after ``iterations`` at most.
     Components stay tied to their anchors, so W gives the subject mixture at once.
 
     Labels may be wrong, repeated or contradicting: all count as votes, spelled
@@ -82,14 +106,14 @@ class SubjectModel:
     Posts with null or blank text take no part and get no subject.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, subjects: Sequence[str], languages: Sequence[str] = ("en", "de", "es"), iterations: int = 6, inner: int = 3) -> None:
-        self.docs, self.subjects, self.inner = docs, list(subjects), inner
+    def __init__(self, docs: DataFrame, labels: DataFrame, subjects: Sequence[str], languages: Sequence[str] = ("en", "de", "es"), iterations: int = 6, inner: int = 3, buckets: int = BUCKETS) -> None:
+        self.docs, self.subjects, self.inner, self.buckets = docs, list(subjects), inner, buckets
         spark = docs.sparkSession
         posts = docs.where(F.length(F.regexp_replace(F.col("text"), r"(?U)\s+", "")) > 0)
         self.posts = posts.select("doc_id", F.coalesce("thread_id", "doc_id").alias("thread"))
         head = F.concat_ws(" ", "title", *["tags"] * TAG_WEIGHT)
         said = F.concat(terms(prose(F.col("text"))), terms(F.coalesce(head, F.lit(""))))
-        column = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        column = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         short = F.lower(F.substring(F.trim("lang"), 1, 2))
         # numbers, since a largest text would make Spark sort where it can hash
         language = F.when(F.col("post_type") == "question", F.coalesce(*(F.when(short == name, i) for i, name in enumerate(languages)), F.lit(0)))
@@ -98,11 +122,13 @@ class SubjectModel:
         self.matrix = written(counts.groupBy("thread").agg(F.collect_list("col").alias("cols"), F.collect_list(F.col("n").cast("float")).alias("counts"), F.max("language").alias("language")))
         self.h = self._anchors(labels, list(languages))
         for _ in range(iterations):
-            self.h = self._step(spark)
+            before, self.h = self.h, self._step(spark)
+            if np.abs(self.h - before).sum(1).max() < 2 * MOVED:
+                break
 
     def _gather(self, sums: DataFrame, names: list[str]) -> np.ndarray:
-        """(name, col, n) as an array; at most names x BUCKETS rows by construction."""
-        out, place = np.zeros((len(names), BUCKETS)), {n: i for i, n in enumerate(names)}
+        """(name, col, n) as an array; at most names x buckets rows by construction."""
+        out, place = np.zeros((len(names), self.buckets)), {n: i for i, n in enumerate(names)}
         rows = sums.toPandas()
         if len(rows):
             out[rows["name"].map(place).to_numpy(), rows["col"].to_numpy()] = rows["n"].to_numpy()
@@ -125,19 +151,19 @@ class SubjectModel:
         return h / np.maximum(h.sum(1, keepdims=True), 1e-12)
 
     def _step(self, spark) -> np.ndarray:
-        shared, k, inner = spark.sparkContext.broadcast(np.ascontiguousarray(self.h.T)), len(self.h), self.inner
+        shared, k, inner, buckets = spark.sparkContext.broadcast(np.ascontiguousarray(self.h.T, np.float32)), len(self.h), self.inner, self.buckets
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h_t, sums = shared.value, np.zeros((BUCKETS, k))
+            h_t, sums = shared.value, np.zeros((k, buckets))
             for batch in batches:
-                for _, n, x, cols, starts in _blocks(batch):
-                    w, rows, ratio = _update(x, cols, starts, np.full((n, k), 1 / k), h_t, inner)
-                    order = np.argsort(cols, kind="stable")
-                    first = np.flatnonzero(np.append(True, np.diff(cols[order]) != 0))
-                    sums[cols[order][first]] += np.add.reduceat((ratio[:, None] * w[rows])[order], first, axis=0)
-            used = np.flatnonzero(sums.any(1))
+                for _, x, cols, inside in _blocks(batch):
+                    w, ratio = _update(x, h_t[cols], np.full((len(x), k), 1 / k, np.float32), inner)
+                    at = cols[inside]
+                    for i in range(k):
+                        sums[i] += np.bincount(at, (ratio * w[:, i, None])[inside], buckets)
+            used = np.flatnonzero(sums.any(0))
             if len(used):
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(sums[used, i]) for i in range(k))], names=["col", *(f"c{i}" for i in range(k))])
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(sums[i, used]) for i in range(k))], names=["col", *(f"c{i}" for i in range(k))])
 
         schema = "col int, " + ", ".join(f"c{i} double" for i in range(k))
         sums = self.matrix.select("thread", "cols", "counts").mapInArrow(gather, schema).groupBy("col").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(k))).toPandas()
@@ -149,18 +175,18 @@ class SubjectModel:
 
     def mixtures(self, rounds: int = 20) -> DataFrame:
         """Subject shares of each thread: thread, subject, share (of the subjects' mass; background left out), of_largest (share / the largest one), first (the largest; of equal ones the first by name)."""
-        shared, k, names = self.docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(self.h.T)), len(self.h), self.subjects
+        shared, k, names = self.docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(self.h.T, np.float32)), len(self.h), self.subjects
 
         def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 threads = batch.column(0).to_numpy(zero_copy_only=False)
-                for a, n, x, cols, starts in _blocks(batch):
-                    w = _update(x, cols, starts, np.full((n, k), 1 / k), shared.value, rounds)[0][:, : len(names)]
+                for rows, x, cols, _ in _blocks(batch):
+                    w = _update(x, shared.value[cols], np.full((len(x), k), 1 / k, np.float32), rounds, SETTLED)[0][:, : len(names)].astype(np.float64)
                     w = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
                     first = np.arange(len(names)) == w.argmax(1)[:, None]
                     i, j = np.nonzero((w >= 0.001) | first)
                     of_largest = w / np.maximum(w.max(1, keepdims=True), 1e-12)
-                    yield pa.RecordBatch.from_arrays([pa.array(threads[a + i]), pa.array(np.array(names, dtype=object)[j], pa.string()), pa.array(w[i, j]), pa.array(of_largest[i, j]), pa.array(first[i, j])], names=["thread", "subject", "share", "of_largest", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(threads[rows[i]]), pa.array(np.array(names, dtype=object)[j], pa.string()), pa.array(w[i, j]), pa.array(of_largest[i, j]), pa.array(first[i, j])], names=["thread", "subject", "share", "of_largest", "first"])
 
         return self.matrix.select("thread", "cols", "counts").mapInArrow(mix, "thread long, subject string, share double, of_largest double, first boolean")
 
