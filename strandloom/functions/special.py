@@ -87,6 +87,23 @@ def _each(f, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(v is None or v != v for v in row) else f(*row) for row in zip(*columns, strict=True)], dtype="float64")
 
 
+def t_quantile(confidence: float, df: float) -> float:
+    """The t with P(|T| <= t) = confidence, by halving the range in which it lies."""
+    low, high = 0.0, 1.0
+    while t_two_sided(high, df) > 1 - confidence and high < 1e12:
+        low, high = high, high * 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_two_sided(middle, df) > 1 - confidence else (low, middle)
+    return (low + high) / 2
+
+
+@F.pandas_udf(T.DoubleType())
+def t_critical(confidence: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided critical value of Student's t; null without degrees of freedom."""
+    return _each(lambda p, d: t_quantile(p, d) if d > 0 and 0 < p < 1 else None, confidence, df)
+
+
 @F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""

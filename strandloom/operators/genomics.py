@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions.seq import FLAGS, covered_blocks, gc_percent, reference_span, variant_kind
+from strandloom.operators.grouping import ordered_totals
 from strandloom.operators.intervals import depth
+from strandloom.operators.periods import periods_and_gaps
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def flag_counts(sam: DataFrame, flag: str = "flag") -> DataFrame:
@@ -116,6 +125,23 @@ def parse_features(lines: DataFrame, line: str = "value", gtf: bool = False) ->
     return out.where("start >= 1 AND end >= start").select(at(0).alias("record"), at(1).alias("source"), at(2).alias("type"), "start", "end", at(5).try_cast("double").alias("score"), at(6).alias("strand"), at(7).alias("phase"), "attributes")
 
 
+def features_of_type(features: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Features of the given types, without regard to case; no type keeps all."""
+    return features.where(F.lower("type").isin(*(t.lower() for t in types))) if types else features
+
+
+def overlaps_region(reference: str | None = None, start: int | None = None, end: int | None = None) -> Column:
+    """Whether a mapped alignment (reference, start, end, status) overlaps a region; missing bounds are open."""
+    test = ~F.contains(F.coalesce("status", F.lit("")), F.lit("unmapped"))
+    if reference:
+        test &= F.col("reference") == reference
+    if start:
+        test &= F.col("end") >= start
+    if end:
+        test &= F.col("start") <= end
+    return test
+
+
 def transcript_parts(features: DataFrame) -> DataFrame:
     """Children of each parent: parent, type, n, start, end, bp. A feature of several parents counts for each."""
     parents = features.select("type", "start", "end", F.explode(F.split(F.col("attributes")["Parent"], ",")).alias("parent"))
@@ -169,13 +195,39 @@ def record_stats(df: DataFrame, ids: Sequence[str], sequence: Column) -> DataFra
     return df.select(*ids, F.length(s).cast("long").alias("length"), F.round(gc_percent(s), 4).alias("gc_percent"), count("RYSWKMBDHVN").alias("n_ambiguous"), count("-.").alias("n_gaps"))
 
 
-def greedy_lanes(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Depth at each interval's start among the intervals of its group: the lane a packer needs at least, bounded by the deepest pile.
+def assign_lanes(df: DataFrame, group: str, start: str, end: str, ties: Sequence[str] = (), gap: int = 0) -> DataFrame:
+    """Every valid interval with its ``lane`` (from 0): the first one whose last interval of the group ends more than ``gap`` positions before.
 
-    Uses running counts instead of packing a whole group in one task.
+    Intervals are taken in the order of start, end and ``ties``. All lanes are free
+    where nothing covers the positions before a start, so each continuous stretch of a
+    group is packed on its own: its intervals stream, sorted, through one task that holds the
+    ends of the lanes only. Null groups, null bounds and intervals that end before their start drop out.
     """
-    runs = depth(df.where(F.col(group).isNotNull() & (F.col(start) <= F.col(end))), [group], start, end)
-    return runs.groupBy(group).agg(F.max("depth").alias("n_lanes"))
+    rows = df.where(F.col(group).isNotNull() & (F.col(start) <= F.col(end)))
+    wide = rows.select(F.col(group).alias("_k"), F.col(start).cast("long").alias("seg_start"), (F.col(end) + gap).cast("long").alias("seg_end"))
+    first = periods_and_gaps(wide, ["_k"]).where("kind = 'period'").select("_k", F.col("seg_start").alias("_a"), F.lit(0).alias("_own"), F.lit(1).cast("long").alias("_mark"))
+    own = rows.withColumns({"_k": F.col(group), "_a": F.col(start).cast("long"), "_b": F.col(end).cast("long"), "_own": F.lit(1), "_mark": F.lit(0).cast("long")})
+    placed = ordered_totals(own.unionByName(first, allowMissingColumns=True), ["_k", "_a", "_own", "_b", *ties], ["_mark"]).where("_own = 1")
+    columns = list(df.columns)
+    sorted_ = placed.select(*columns, "_mark_upto", "_a", "_b").repartition("_mark_upto").sortWithinPartitions("_mark_upto", "_a", "_b", *ties)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, ends = None, np.empty(0, np.int64)
+        for batch in batches:
+            k = batch.num_columns
+            lanes = []
+            for mark, a, b in zip(*(batch.column(i).to_pylist() for i in (k - 3, k - 2, k - 1)), strict=True):
+                if mark != stretch:
+                    stretch, ends = mark, np.empty(0, np.int64)
+                free = np.flatnonzero(ends + gap < a)
+                lane = int(free[0]) if len(free) else len(ends)
+                if lane == len(ends):
+                    ends = np.append(ends, b)
+                ends[lane] = b
+                lanes.append(lane)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k - 3], pa.array(lanes, pa.int32())], names=[*columns, "lane"])
+
+    return sorted_.mapInArrow(pack, T.StructType([*df.schema.fields, T.StructField("lane", T.IntegerType())]))
 
 
 def best_first(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandloom.session import written
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Positions per tile of ``running_totals``, as a power of two.
 TILE_BITS = 20
@@ -67,3 +76,36 @@ def with_group_figures(df: DataFrame, keys: Sequence[str], salt: Column, partial
     salts = Window.partitionBy(*keys)
     spread = parts.select(*keys, "_salt", *(c.over(salts).alias(n) for n, c in total.items()))
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
+def ordered_totals(df: DataFrame, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Running totals of long columns over the whole table in the order of ``order``: adds ``<value>_upto`` (inclusive).
+
+    Rows are sorted by range partitions, whose bounds Spark takes from a sample of the
+    data, so any distribution of values spreads evenly; each partition adds up its own
+    rows and the totals of the partitions, one row each, are added after that. Rows that
+    are equal in ``order`` share a partition and come in any order: let there be few. The
+    sorted rows are written once. Values must not be null.
+    """
+    names = [f.name for f in df.schema.fields]
+    at = [names.index(v) for v in values]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, so_far = TaskContext.get().partitionId(), [0] * len(at)
+        for batch in batches:
+            sums = []
+            for k, i in enumerate(at):
+                upto = np.cumsum(batch.column(i).to_numpy(zero_copy_only=False)) + so_far[k]
+                so_far[k] = int(upto[-1]) if len(upto) else so_far[k]
+                sums.append(pa.array(upto, pa.int64()))
+            parts = pa.array(np.full(batch.num_rows, part, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sums, parts], names=[*names, *(f"_upto{k}" for k in range(len(at))), "_part"])
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(f"_upto{k}", T.LongType()) for k in range(len(at))), T.StructField("_part", T.IntegerType())])
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(count, *order).sortWithinPartitions(*order).mapInArrow(add_up, schema))
+    ends = rows.groupBy("_part").agg(*(F.sum(v).alias(f"_sum{k}") for k, v in enumerate(values)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ends.select("_part", *(F.coalesce(F.sum(f"_sum{k}").over(before), F.lit(0)).alias(f"_before{k}") for k in range(len(at))))
+    joined = rows.join(F.broadcast(base), "_part")  # one row per shuffle partition
+    return joined.select(*names, *((F.col(f"_upto{k}") + F.col(f"_before{k}")).alias(f"{v}_upto") for k, v in enumerate(values)))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.exprs import is_missing, number, to_num
-from strandloom.operators.grouping import running_totals
+from strandloom.functions.special import t_critical
+from strandloom.operators.grouping import ordered_totals, spread_join
+from strandloom.session import written
 
 
 def _unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -60,54 +62,67 @@ def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFr
     """Descriptive statistics per numeric column, over the distinct values with their counts.
 
     Skewness and excess kurtosis are those of samples (G1, G2); quartiles
-    interpolate linearly; the trimmed mean drops floor(n * trim) values at each end.
+    interpolate linearly; the trimmed mean drops floor(n * trim) values at each end;
+    ``ci_low`` and ``ci_high`` bound the mean with 95 % confidence (Student's t).
+    Quartiles and trimmed mean come from running counts over range partitions, so a
+    column of any number of distinct values is spread.
     """
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), number(df, c).alias("x")) for c in columns)))
-    values = df.select(each.alias("e")).select("e.*").where("x IS NOT NULL").groupBy("column", "x").agg(F.count("*").alias("c"))
-    means = values.groupBy("column").agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
-    centred = values.join(F.broadcast(means), "column").withColumn("d", F.col("x") - F.col("mean"))  # one row per column
-    before = F.sum("c").over(Window.partitionBy("column").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    values = ordered_totals(df.select(each.alias("e")).select("e.*").where("x IS NOT NULL").groupBy("column", "x").agg(F.count("*").alias("c")), ["column", "x"], ["c"])
+    means = values.groupBy("column").agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"), F.min(F.col("c_upto") - F.col("c")).alias("base"))
+    centred = values.join(F.broadcast(means), "column").withColumns({"d": F.col("x") - F.col("mean"), "upto": F.col("c_upto") - F.col("base")})  # one row per column
     cut = F.floor(F.col("n") * trim)
     kept = F.greatest(F.lit(0).cast("long"), F.least(F.col("upto"), F.col("n") - cut) - F.greatest(F.col("upto") - F.col("c"), cut))
     power = lambda k: F.sum(F.pow("d", F.lit(k)) * F.col("c"))
-    q = lambda p: F.percentile("x", p, F.col("c"))
-    sums = centred.withColumn("upto", before).groupBy("column").agg(
+    sums = centred.groupBy("column").agg(
         F.max("n").alias("n"), F.max("mean").alias("mean"), power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.sum(F.col("x") * F.col("c")).alias("sum"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), (F.sum(F.col("x") * kept) / F.sum(kept)).alias("trimmed_mean"),
+        F.sum(F.col("x") * F.col("c")).alias("sum"), *(quantile_at(p).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), (F.sum(F.col("x") * kept) / F.sum(kept)).alias("trimmed_mean"),
         F.max(F.struct("c", -F.col("x"))).alias("often"),
     )
     n, var = F.col("n"), F.col("m2") / F.when(F.col("n") > 1, F.col("n") - 1)
     sd = F.sqrt(var)
     skew = F.when((n > 2) & (F.col("m2") > 0), F.sqrt(n * (n - 1)) / (n - 2) * (F.col("m3") / n) / F.pow(F.col("m2") / n, F.lit(1.5)))
     kurt = F.when((n > 3) & (F.col("m2") > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * F.col("m4") / F.pow("m2", F.lit(2)) - 3) + 6))
+    reach = t_critical(F.lit(0.95), (n - 1).cast("double")) * sd / F.sqrt(n)
     figures = {
         "sum": F.col("sum"), "mean": F.col("mean"), "median": F.col("median"), "min": F.col("min"), "max": F.col("max"), "range": F.col("max") - F.col("min"), "q1": F.col("q1"), "q3": F.col("q3"),
-        "iqr": F.col("q3") - F.col("q1"), "variance": var, "sd": sd, "se": sd / F.sqrt(n), "cv_percent": F.when(F.col("mean") != 0, sd / F.abs("mean") * 100), "trimmed_mean": F.col("trimmed_mean"),
+        "iqr": F.col("q3") - F.col("q1"), "variance": var, "sd": sd, "se": sd / F.sqrt(n), "ci_low": F.col("mean") - reach, "ci_high": F.col("mean") + reach, "cv_percent": F.when(F.col("mean") != 0, sd / F.abs("mean") * 100), "trimmed_mean": F.col("trimmed_mean"),
         "skewness": skew, "kurtosis": kurt, "mode": -F.col("often.col2"),
     }
     return sums.select("column", "n", *(F.round(c, 4).alias(k) for k, c in figures.items()), F.col("often.c").alias("mode_count"))
 
 
+def quantile_at(p: float, x: str = "x", upto: str = "upto", c: str = "c", n: str = "n") -> Column:
+    """Aggregate: the linearly interpolated quantile of values ``x`` that stand ``c`` times, up to place ``upto`` of ``n``."""
+    place = (F.col(n) - 1) * F.lit(p)
+    low, high = F.floor(place), F.ceil(place)
+    holds = lambda k: (F.col(upto) > k) & (F.col(upto) - F.col(c) <= k)
+    below, above = F.max(F.when(holds(low), F.col(x))), F.max(F.when(holds(high), F.col(x)))
+    return below + (above - below) * F.max(place - low)
+
+
+def ranked_values(cells: DataFrame, value: str, count: str, rank: str) -> DataFrame:
+    """Distinct values of a table of counts: value, ``rank`` (the average one, ties share it), ``<rank>_ties`` (rows of the value), and ``<rank>_below`` (rows before it)."""
+    counted = ordered_totals(cells.groupBy(value).agg(F.sum(count).alias("_n")), [value], ["_n"])
+    return counted.select(value, (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias(rank), F.col("_n").alias(f"{rank}_ties"), (F.col("_n_upto") - F.col("_n")).alias(f"{rank}_below"))
+
+
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, rank: str) -> DataFrame:
-    """Adds the average rank (ties share one) of a numeric column, and ``<rank>_ties``, the size of the tie.
+    """Adds the average rank (ties share one) of a numeric column within groups, and ``<rank>_ties``, the size of the tie.
 
-    Counted over distinct values. Their running counts come from tiles of an
-    order-preserving 64-bit image of the double, so no group passes through one task.
+    Counted over distinct values in range partitions, so no group passes through one
+    task; the rows of a frequent value are spread when they take their rank back.
     """
-    values = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    image = values.withColumn("_pos", order_key(F.col(value).cast("double")))
-    counted = running_totals(image, groups, "_pos", ["_n"], tile_bits=44, levels=1, ties=[value])
-    ranked = counted.select(*groups, value, (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias(rank), F.col("_n").alias(f"{rank}_ties"))
+    counted = ordered_totals(df.groupBy(*groups, value).agg(F.count("*").alias("_n")), [*groups, value], ["_n"])
+    if groups:
+        starts = counted.groupBy(*groups).agg(F.min(F.col("_n_upto") - F.col("_n")).alias("_base"))
+        counted = spread_join(counted, starts, groups, F.pmod(F.xxhash64(value), F.lit(64)))
+    else:
+        counted = counted.withColumn("_base", F.lit(0))
+    ranked = counted.select(*groups, value, (F.col("_n_upto") - F.col("_base") - (F.col("_n") - 1) / 2).alias(rank), F.col("_n").alias(f"{rank}_ties"))
     return df.join(ranked, [*groups, value])
 
 
-def order_key(x: Column) -> Column:
-    """A long that orders as the finite double does: its magnitude in 2**-10 steps of log space above 1, linear below, with 40-odd bits."""
-    size = F.abs(x)
-    whole = F.when(size < 1, size * F.lit(float(1 << 50))).otherwise(F.lit(float(1 << 50)) * (1 + F.log2(F.greatest(size, F.lit(1.0)))))
-    return (F.signum(x) * whole).cast("long")
-
-
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All pairs of numeric columns: n, Pearson's r, covariance, and the regression line; rows lacking either value are left out. One pass."""
     cast = df.select(*(number(df, c).alias(c) for c in columns))
@@ -122,24 +137,48 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
+def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs of numbers with their rows: a, b, n; written, since marginals and pairs are both read."""
+    return written(df.select(number(df, a).alias("a"), number(df, b).alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("n")))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman's rank correlation of two numeric columns: Pearson's r of the average ranks."""
-    both = df.select(number(df, a).alias("a"), number(df, b).alias("b")).dropna()
-    ranked = average_ranks(average_ranks(both, [], "a", "ra"), [], "b", "rb")
-    return ranked.agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+    """Spearman's rank correlation of two numeric columns: Pearson's r of the average ranks, over distinct pairs with their counts."""
+    pairs = _pair_counts(df, a, b)
+    ranked = pairs.join(ranked_values(pairs, "a", "n", "ra"), "a").join(ranked_values(pairs, "b", "n", "rb"), "b")
+    n = F.col("n").cast("double")
+    sums = ranked.agg(F.sum("n").alias("n"), *(F.sum(x * n).alias(name) for name, x in (("sa", F.col("ra")), ("sb", F.col("rb")))))
+    # ranks have the mean (n + 1) / 2, so products about it need no second pass
+    total = sums.select("n").first()["n"]
+    middle = ((total or 0) + 1) / 2
+    da, db = F.col("ra") - middle, F.col("rb") - middle
+    moments = ranked.agg(F.sum("n").alias("n"), F.sum(da * db * n).alias("ab"), F.sum(da * da * n).alias("aa"), F.sum(db * db * n).alias("bb"))
+    bound = F.sqrt(F.col("aa") * F.col("bb"))
+    return moments.select(F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.round(F.col("ab") / F.when(bound > 0, bound), 6).alias("spearman"))
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b over the table of distinct (a, b) pairs, by counts of pairs of cells.
+    """Kendall's tau-b: n, n_concordant, n_discordant (pairs of rows), tau_b.
 
-    Cells meet as an inequality join of the distinct values, so it suits columns
-    with few distinct values; n_concordant and n_discordant count pairs of rows.
+    Two rows differ in a at the highest bit in which the numbers of their a values
+    differ. So for each bit, the rows with equal higher bits form a block, in which
+    those with the bit stand behind those without: running counts in the order of b
+    give how many of these have a smaller or larger b. The work is rows times the
+    bits of the number of distinct a values; no pair is formed. Below three billion rows.
     """
-    cells = df.select(number(df, a).alias("a"), number(df, b).alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("n"))
-    other = cells.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
-    pairs = cells.join(other, F.col("a2") > F.col("a"))
-    signs = pairs.agg(F.sum(F.when(F.col("b2") > F.col("b"), F.col("n") * F.col("n2")).otherwise(0)).alias("n_concordant"), F.sum(F.when(F.col("b2") < F.col("b"), F.col("n") * F.col("n2")).otherwise(0)).alias("n_discordant"))
-    tied = lambda c: cells.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
+    pairs = _pair_counts(df, a, b)
+    numbered = ordered_totals(pairs.select("a").distinct().withColumn("one", F.lit(1).cast("long")), ["a"], ["one"]).select("a", (F.col("one_upto") - 1).alias("no"))
+    bits = max(1, (numbered.agg(F.max("no")).first()[0] or 0)).bit_length()
+    shift = lambda k: F.call_function("shiftright", F.col("no"), k)
+    split = pairs.join(numbered, "a").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    split = split.select("bit", shift(F.col("bit") + 1).alias("block"), "b", "n", shift(F.col("bit")).bitwiseAND(F.lit(1)).alias("high"))
+    places = split.groupBy("bit", "block", "b").agg(F.sum(F.when(F.col("high") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("high") == 1, F.col("n")).otherwise(0)).alias("ones"))
+    counted = ordered_totals(places, ["bit", "block", "b"], ["zeros"])
+    blocks = counted.groupBy("bit", "block").agg(F.min(F.col("zeros_upto") - F.col("zeros")).alias("before"), F.max("zeros_upto").alias("upto"))
+    met = spread_join(counted, blocks, ["bit", "block"], F.pmod(F.xxhash64("b"), F.lit(64)))
+    smaller, larger = F.col("zeros_upto") - F.col("zeros") - F.col("before"), F.col("upto") - F.col("zeros_upto")
+    signs = met.agg(F.coalesce(F.sum(F.col("ones") * smaller), F.lit(0)).alias("n_concordant"), F.coalesce(F.sum(F.col("ones") * larger), F.lit(0)).alias("n_discordant"))
+    tied = lambda c: pairs.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
     all_pairs = F.col("n") * (F.col("n") - 1) / 2
     bound = F.sqrt((all_pairs - F.col("ta")) * (all_pairs - F.col("tb")))
     one = F.lit(1).alias("_one")
@@ -166,11 +205,11 @@ def crosstab(df: DataFrame, a: str, b: str, most: int = 20) -> DataFrame:
     cells = df.where(~is_missing(F.col(a)) & ~is_missing(F.col(b))).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
 
     def limited(side: str) -> Column:
-        return F.when(F.col(f"{side}_rank") <= most, F.col(side)).otherwise("Other")
+        return F.when(F.col(f"{side}_first"), F.col(side)).otherwise("Other")
 
     for side in ("a", "b"):
-        ranks = cells.groupBy(side).agg(F.sum("n").alias("_t")).withColumn(f"{side}_rank", F.row_number().over(Window.orderBy(F.desc("_t"), side))).drop("_t")
-        cells = cells.join(ranks, side)
+        first = cells.groupBy(side).agg(F.sum("n").alias("_t")).orderBy(F.desc("_t"), side).limit(most).select(side, F.lit(True).alias(f"{side}_first"))
+        cells = cells.join(F.broadcast(first), side, "left")  # the most frequent ones only
     merged = cells.groupBy(limited("a").alias("a"), limited("b").alias("b")).agg(F.sum("n").alias("n"))
     part = lambda *by: F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy(*by)), 2)
     return merged.select("a", "b", "n", part().alias("percent"), part("a").alias("row_percent"), part("b").alias("column_percent"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +66,39 @@ def read_faults(sequence: Column, quality: Column, least: int = 15, most_n: int
         F.when(n_low * 100 > F.size(v) * low_percent, "low quality"),
     )
     return F.filter(reasons, lambda r: r.isNotNull())
+
+
+def mean_quality(quality: Column, base: int = 33) -> Column:
+    """The mean quality value of a quality text; null if it is null or empty."""
+    values = phred(quality, base)
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, q: a + q) / F.when(F.size(values) > 0, F.size(values))
+
+
+def length_distribution(df: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """Reads by length: length, n, percent of all reads. Null sequences drop out."""
+    counts = df.where(F.col(sequence).isNotNull()).groupBy(F.length(sequence).alias("length")).agg(F.count("*").alias("n"))
+    one = F.lit(1).alias("_one")
+    return counts.select("*", one).join(counts.agg(F.sum("n").alias("_all")).select("*", one), "_one").select("length", "n", F.round(F.col("n") * 100 / F.col("_all"), 2).alias("percent"))  # beside one row
+
+
+def duplicate_levels(df: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """How many distinct sequences occur how often: copies, n_sequences, n_reads."""
+    counts = df.where(F.col(sequence).isNotNull()).groupBy(sequence).agg(F.count("*").alias("copies"))
+    return counts.groupBy("copies").agg(F.count("*").alias("n_sequences"), F.sum("copies").alias("n_reads"))
+
+
+def overrepresented(df: DataFrame, n: int = 20, sequence: str = "sequence") -> DataFrame:
+    """The ``n`` most frequent sequences that occur more than once: sequence, copies; ties by sequence."""
+    counts = df.where(F.col(sequence).isNotNull()).groupBy(sequence).agg(F.count("*").alias("copies")).where("copies > 1")
+    return counts.orderBy(F.desc("copies"), sequence).limit(n)
+
+
+def sample_reads(df: DataFrame, n: int, key: Sequence[str] = ("read_no",), seed: int = 1) -> DataFrame:
+    """A seeded sample of ``n`` reads (all, if there are fewer), the same ones on every run: those with the smallest hashes of their key."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+
+
+def sample_pairs(first: DataFrame, second: DataFrame, n: int, key: Sequence[str] = ("read_no",), seed: int = 1) -> DataFrame:
+    """A seeded sample of ``n`` read pairs, mates by their key (the number in their file): key, sequence_1, quality_1, sequence_2, quality_2. Reads without a mate drop out."""
+    named = lambda df, k: df.select(*key, F.col("sequence").alias(f"sequence_{k}"), F.col("quality").alias(f"quality_{k}"))
+    return sample_reads(named(first, 1).join(named(second, 2), list(key)), n, key, seed)

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.exprs import is_missing, number
 from strandloom.functions.special import chi2_p, f_p, fisher_p, normal_p, t_p
-from strandloom.operators.profile import average_ranks
+from strandloom.operators.plotdata import bounded_grid
+from strandloom.operators.profile import ranked_values
+from strandloom.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,7 +36,8 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"), F.sum("x").alias("sum"))
 
 
-def _rounded(df: DataFrame, keep: Sequence[str] = (), digits: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, keep: Sequence[str] = ("p", "p_adjusted"), digits: int = 6) -> DataFrame:
+    """Rounds the figures; p stays whole, since small ones would become 0."""
     kinds = dict(df.dtypes)
     return df.select(*(F.round(c, digits).alias(c) if kinds[c] == "double" and c not in keep else F.col(c) for c in df.columns))
 
@@ -68,9 +71,11 @@ def adjusted(p: DataFrame, column: str = "p", method: str = "holm", order: Seque
     return p.withColumn("_step", step).withColumn("p_adjusted", F.max("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
-def pairwise_t_tests(df: DataFrame, group: str, value: str, method: str = "holm") -> DataFrame:
-    """Welch tests of all pairs of groups with adjusted p. Groups, not rows, are paired."""
-    m = _moments(numeric_groups(df, group, value)).drop("sum")
+def pairwise_t_tests(df: DataFrame, group: str, value: str, method: str = "holm", most: int = 30) -> DataFrame:
+    """Welch tests of all pairs of groups with adjusted p. Groups, not rows, are paired; more than ``most`` groups are an error."""
+    m = written(_moments(numeric_groups(df, group, value)).drop("sum"))
+    if m.count() > most:
+        raise ValueError(f"{group} has more than {most} groups")
     left, right = (m.select(*(F.col(c).alias(f"{c}_{s}") for c in m.columns)) for s in ("a", "b"))
     va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
     se = F.sqrt(va + vb)
@@ -93,10 +98,20 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return _rounded(r.withColumn("p", f_p("f", F.col("df_between").cast("double"), F.col("df_within").cast("double"))), digits=4)
 
 
+#: What each row of a tie of t rows adds to the tie correction.
+_tied = F.pow(F.col("r_ties").cast("double"), F.lit(2)) - 1
+
+
+def _ranked_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct rows of ``columns`` (with x) and their number ``c``, with the average rank ``r`` of x among all rows and the size of its tie."""
+    cells = written(rows.groupBy(*columns).agg(F.count("*").alias("c")))
+    return cells.join(ranked_values(cells, "x", "c", "r"), "x")
+
+
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, df and p."""
-    ranked = average_ranks(numeric_groups(df, group, value), [], "x", "r")
-    groups = ranked.groupBy("g").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum(F.pow(F.col("r_ties").cast("double"), F.lit(2)) - 1).alias("ties"))
+    ranked = _ranked_cells(numeric_groups(df, group, value), ["g", "x"])
+    groups = ranked.groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("c")).alias("r"), F.sum(_tied * F.col("c")).alias("ties"))
     s = groups.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.pow("r", F.lit(2)) / F.col("n")).alias("q"), F.sum("ties").alias("ties"))
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.when(F.col("ties") < n * n * n - n, 1 - F.col("ties") / (n * n * n - n))
@@ -106,9 +121,9 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
 def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """Mann-Whitney U (the smaller one), z with tie and continuity correction, two-sided p."""
     rows = numeric_groups(df, group, value).where(F.col("g").isin(a, b))
-    ranked = average_ranks(rows, [], "x", "r")
-    first = F.col("g") == a
-    s = ranked.agg(F.count_if(first).alias("n_a"), F.count_if(~first).alias("n_b"), F.sum(F.when(first, F.col("r"))).alias("r_a"), F.sum(F.pow(F.col("r_ties").cast("double"), F.lit(2)) - 1).alias("ties"))
+    ranked = _ranked_cells(rows, ["g", "x"])
+    first, count = F.col("g") == a, lambda c: F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0).cast("long"))
+    s = ranked.agg(count(first).alias("n_a"), count(~first).alias("n_b"), F.sum(F.when(first, F.col("r") * F.col("c"))).alias("r_a"), F.sum(_tied * F.col("c")).alias("ties"))
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     ua = F.col("r_a") - na * (na + 1) / 2
     u, n = F.least(ua, na * nb - ua), na + nb
@@ -129,8 +144,9 @@ def paired_t_test(df: DataFrame, first: str, second: str) -> DataFrame:
 def wilcoxon(df: DataFrame, first: str, second: str) -> DataFrame:
     """Wilcoxon signed-rank test of second - first: zero differences drop out; z with tie and continuity correction, p."""
     d = df.select((number(df, second) - number(df, first)).alias("d")).where("d IS NOT NULL AND d <> 0").withColumn("x", F.abs("d"))
-    ranked = average_ranks(d, [], "x", "r")
-    s = ranked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sum(F.pow(F.col("r_ties").cast("double"), F.lit(2)) - 1).alias("ties"))
+    ranked = _ranked_cells(d, ["d", "x"])
+    side = lambda c: F.sum(F.when(c, F.col("r") * F.col("c")).otherwise(0.0))
+    s = ranked.agg(F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("n"), side(F.col("d") > 0).alias("w_plus"), side(F.col("d") < 0).alias("w_minus"), F.sum(_tied * F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     gap = F.col("w_plus") - n * (n + 1) / 4
@@ -141,19 +157,21 @@ def wilcoxon(df: DataFrame, first: str, second: str) -> DataFrame:
 def chi_square(df: DataFrame, row: str, column: str, weight: Column | None = None) -> DataFrame:
     """Expected counts and contributions per cell of a contingency table, with the test's chi2, df and p on every row.
 
-    All combinations of the seen rows and columns appear; ``weight`` sums counts instead of rows.
+    All combinations of the seen rows and columns appear, 100,000 at most; ``weight`` sums counts instead of rows.
     """
-    cells = df.where(~is_missing(F.col(row)) & ~is_missing(F.col(column))).groupBy(F.col(row).cast("string").alias("r"), F.col(column).cast("string").alias("c")).agg((F.sum(weight) if weight is not None else F.count("*")).alias("observed"))
+    counted = (F.sum(weight) if weight is not None else F.count("*")).alias("observed")
+    cells = written(df.where(~is_missing(F.col(row)) & ~is_missing(F.col(column))).groupBy(F.col(row).cast("string").alias("r"), F.col(column).cast("string").alias("c")).agg(counted))
     rows = cells.groupBy("r").agg(F.sum("observed").alias("row_total"))
     columns = cells.groupBy("c").agg(F.sum("observed").alias("column_total"))
-    # margins of a contingency table, not rows: every combination is a cell of the result
-    grid = _one(rows).join(_one(columns), "_one").drop("_one").join(cells, ["r", "c"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
-    everything = Window.partitionBy()
-    expected = F.col("row_total") * F.col("column_total") / F.sum("observed").over(everything)
-    g = grid.withColumn("expected", expected).withColumn("contribution", F.pow(F.col("observed") - F.col("expected"), F.lit(2)) / F.when(F.col("expected") > 0, F.col("expected")))
-    dfree = (F.size(F.collect_set("r").over(everything)) - 1) * (F.size(F.collect_set("c").over(everything)) - 1)
-    g = g.withColumns({"chi2": F.sum("contribution").over(everything), "df": dfree})
-    return _rounded(g.select("r", "c", "observed", "expected", "contribution", "chi2", "df").withColumn("p", chi2_p("chi2", F.col("df").cast("double"))), digits=4)
+    grid = bounded_grid(cells, "r", "c").join(rows, "r").join(columns, "c").join(cells, ["r", "c"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    whole = _one(rows.agg(F.sum("row_total").alias("total"), F.count("*").alias("n_rows")))
+    sides = whole.join(_one(columns.agg(F.count("*").alias("n_columns"))), "_one")
+    g = _one(grid).join(sides, "_one").withColumn("expected", F.col("row_total") * F.col("column_total") / F.col("total"))  # beside one row
+    g = g.withColumn("contribution", F.pow(F.col("observed") - F.col("expected"), F.lit(2)) / F.when(F.col("expected") > 0, F.col("expected")))
+    g = g.withColumn("df", ((F.col("n_rows") - 1) * (F.col("n_columns") - 1)).cast("int")).drop("_one")
+    test = g.agg(F.sum("contribution").alias("chi2"))
+    out = _one(g).join(_one(test), "_one").select("r", "c", "observed", "expected", "contribution", "chi2", "df")
+    return _rounded(out.withColumn("p", chi2_p("chi2", F.col("df").cast("double"))), digits=4)
 
 
 def fisher_exact(df: DataFrame, row: Column, column: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.exprs import clean_text, key_text, natural_key, number, present, to_num, to_num_sql
+from strandloom.operators.grouping import ordered_totals
 
 
 def find_column(df: DataFrame, name: str) -> str:
@@ -172,22 +173,26 @@ def summarize_groups(df: DataFrame, groups: Sequence[str], values: Sequence[str]
 
     Missing spellings do not count; number operations also skip other text; the
     deviation of fewer than two values is null. Null group cells form a group.
+    Median and distinct need the single values: cells are counted per (group, value
+    column, cell) first, so that distinct cells with their counts are all that they hold.
     """
-    aggs = [F.count("*").alias("row_count")]
-    for v in values:
-        shown, x = present(df, v), number(df, v)
-        made = {
-            "count": lambda: F.count(shown),
-            "sum": lambda: F.round(F.sum(x), 6),
-            "mean": lambda: F.round(F.avg(x), 6),
-            "median": lambda: F.round(F.percentile(x, 0.5), 6),
-            "min": lambda: F.min(x),
-            "max": lambda: F.max(x),
-            "sd": lambda: F.round(F.stddev_samp(x), 6),
-            "distinct": lambda: F.count_distinct(shown),
-        }
-        aggs += [made[op]().alias(f"{v}_{op}") for op in operations]
-    return df.groupBy(*groups).agg(*aggs)
+    direct, counted = [F.count("*").alias("row_count")], []
+    for i, v in enumerate(values):
+        shown, x, mine = present(df, v), number(df, v), F.col("_i") == i
+        made = {"count": F.count(shown), "sum": F.round(F.sum(x), 6), "mean": F.round(F.avg(x), 6), "min": F.min(x), "max": F.max(x), "sd": F.round(F.stddev_samp(x), 6)}
+        later = {"median": F.round(F.percentile(F.when(mine, F.col("_x")), 0.5, F.when(mine, F.col("_c")).otherwise(0)), 6), "distinct": F.count_if(mine & F.col("_here"))}
+        direct += [made[op].alias(f"{v}_{op}") for op in operations if op in made]
+        counted += [later[op].alias(f"{v}_{op}") for op in operations if op in later]
+    keys = [f"_g{k}" for k in range(len(groups))]
+    named = [F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)]
+    out = df.groupBy(*named).agg(*direct)
+    if counted:
+        cells = [F.struct(F.lit(i).alias("_i"), number(df, v).alias("_x"), F.when(number(df, v).isNull(), present(df, v).cast("string")).alias("_text"), present(df, v).isNotNull().alias("_here")) for i, v in enumerate(values)]
+        each = df.select(*named, F.explode(F.array(*cells)).alias("e")).select(*keys, "e.*")
+        counts = each.groupBy(*keys, "_i", "_x", "_text", "_here").agg(F.count("*").alias("_c")).groupBy(*keys).agg(*counted)
+        same = reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys), F.lit(True))
+        out = out.alias("a").join(counts.alias("b"), same).select("a.*", *(f"b.{c}" for c in counts.columns if c not in keys))
+    return out.select(*(F.col(k).alias(g) for g, k in zip(groups, keys, strict=True)), "row_count", *(f"{v}_{op}" for v in values for op in operations))
 
 
 def long_to_wide(df: DataFrame, ids: Sequence[str], names: str, value: str, how: str = "first", order: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -210,18 +215,18 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 1) -> Dat
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
 
 
-def sample_with_replacement(df: DataFrame, rate: float, key: Sequence[str], seed: int = 1) -> DataFrame:
-    """Each row 0, 1, 2 … times, Poisson-distributed around ``rate`` by a seeded hash of its key."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    import math
+def sample_with_replacement(df: DataFrame, n: int, key: Sequence[str], seed: int = 1) -> DataFrame:
+    """Exactly ``n`` draws, each of any row with the same chance: the row with ``draw`` (from 0). None from an empty table.
 
-    term, total, levels = math.exp(-rate), math.exp(-rate), [math.exp(-rate)]
-    for k in range(1, 40):
-        term *= rate / k
-        total += term
-        levels.append(total)
-    times = sum((F.when(u > F.lit(level), 1).otherwise(0) for level in levels), F.lit(0))
-    return df.withColumn("_times", times).where("_times > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+    Draw i takes the row whose number, in the order of ``key``, is a seeded hash of i
+    modulo the number of rows, so the same rows come on every run and a row may be drawn any number of times.
+    """
+    numbered = ordered_totals(df.withColumn("_one", F.lit(1).cast("long")), key, ["_one"])
+    rows = numbered.agg(F.max("_one_upto")).first()[0]
+    if not rows:
+        return df.withColumn("draw", F.lit(0).cast("long")).where("false")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(rows)) + 1).alias("_one_upto"))
+    return numbered.drop("_one").join(draws, "_one_upto").select(*df.columns, "draw")
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

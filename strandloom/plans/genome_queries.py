@@ -263,7 +263,7 @@ def open_reading_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT record_id, upper(sequence) AS s, source_file = 'batch_00000.fasta' AS a FROM sequence_records WHERE alphabet = 'protein' AND sequence IS NOT NULL), o AS (SELECT min(record_id) AS k, s, a FROM p GROUP BY s, a), m AS (SELECT DISTINCT k, a, w FROM (SELECT k, a, s, unnest(range(1, length(s) - 6)) AS i FROM o WHERE length(s) >= 8), LATERAL (SELECT substr(s, CAST(i AS INTEGER), 8) AS w)),
-x AS (SELECT l.k AS key_a, r.k AS key_b, count(*) AS shared FROM m l JOIN m r USING (w) WHERE l.a AND NOT r.a GROUP BY ALL HAVING count(*) >= 3)
+x AS (SELECT l.k AS key_a, r.k AS key_b, count(*) AS shared FROM m l JOIN m r USING (w) WHERE l.a AND NOT r.a GROUP BY ALL HAVING count(*) >= 1)
 SELECT key_a, key_b, shared FROM x QUALIFY row_number() OVER (PARTITION BY key_a ORDER BY shared DESC, key_b) = 1 AND row_number() OVER (PARTITION BY key_b ORDER BY shared DESC, key_a) = 1""")
 def reciprocal_best(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal best matches of two sets of proteins by shared 8-mers."""
@@ -293,8 +293,9 @@ def exact_copies(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT source_set, CAST(max(depth) AS BIGINT) AS n_lanes FROM (SELECT source_set, sum(d) OVER (PARTITION BY source_set ORDER BY p) AS depth FROM (SELECT source_set, p, sum(d) AS d FROM (SELECT source_set, start AS p, 1 AS d FROM genomic_intervals WHERE start <= "end" AND source_set IS NOT NULL UNION ALL SELECT source_set, "end" + 1, -1 FROM genomic_intervals WHERE start <= "end" AND source_set IS NOT NULL) GROUP BY ALL)) GROUP BY source_set""")
 def interval_lanes(spark: SparkSession, d: str) -> DataFrame:
-    """Lanes needed to draw each set without overlaps."""
-    return genomics.greedy_lanes(table(spark, d, "genomic_intervals"), "source_set", "start", "end")
+    """Lanes in which the intervals of each set are packed without overlaps: as many as its deepest pile."""
+    lanes = genomics.assign_lanes(table(spark, d, "genomic_intervals").select("interval_id", "source_set", "start", "end"), "source_set", "start", "end", ["interval_id"])
+    return lanes.groupBy("source_set").agg((F.max("lane") + 1).cast("long").alias("n_lanes"))
 
 
 _NAME = r"nullif(regexp_extract(coalesce(title, ''), '^>?\s*(\S+)', 1), '')"

@@ -179,7 +179,7 @@ SELECT 'o_totalprice' AS "column", count(*) AS n, round(sum(x), 4) AS sum, round
  round(skewness(x), 4) AS skewness, round(kurtosis(x), 4) AS kurtosis, (SELECT x FROM m) AS mode, (SELECT c FROM m) AS mode_count FROM t""")
 def descriptive(spark: SparkSession, d: str) -> DataFrame:
     """Descriptive statistics."""
-    return profile.describe(table(spark, d, "orders"), ["o_totalprice"]).withColumn("variance", F.round("variance", 1))
+    return profile.describe(table(spark, d, "orders"), ["o_totalprice"]).withColumn("variance", F.round("variance", 1)).drop("ci_low", "ci_high")
 
 
 _CORR = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"), ("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"), ("l_discount", "l_discount")]
@@ -416,5 +416,6 @@ def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sampled_with_replacement(spark: SparkSession, d: str) -> DataFrame:
-    """A seeded bootstrap of all rows."""
-    return tables.sample_with_replacement(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 1.0, ["o_orderkey"])
+    """A seeded bootstrap: as many draws as there are rows."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return tables.sample_with_replacement(rows, rows.count(), ["o_orderkey"])

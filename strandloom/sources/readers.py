@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -41,16 +42,25 @@ def slug(labels: Sequence[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True) -> DataFrame:
+def breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the files has an odd number of double quotes, so that a quoted field may go on in the next one."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, multi_line: bool | None = None) -> DataFrame:
     """A delimited file as text columns, blank cells as ``""``.
 
     Quoted fields may hold delimiters, line breaks and doubled quotes. Ids are made
     from the header, the label stays in the column's metadata; short rows are
     padded, blank rows drop out. Without ``delimiter`` the first lines decide.
+    ``multi_line`` says whether quoted fields hold line breaks: such a file is read by
+    one task, others are split. Unless given, one look over the lines decides.
     """
     head = [r["value"] for r in spark.read.text(path).limit(25).collect()]
     sep = DELIMITERS.get(delimiter, delimiter) if delimiter else DELIMITERS[detect_delimiter(head)[0]]
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": True, "mode": "PERMISSIVE", "nullValue": "\u0000"}
+    whole = breaks_in_quotes(spark, path) if multi_line is None else multi_line
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": whole, "mode": "PERMISSIVE", "nullValue": "\u0000"}
     labels = list(spark.read.options(header=False, **options).csv(path).limit(1).first() or [])
     names = slug([str(x or "") for x in labels]) if header else [f"column_{i + 1}" for i in range(len(labels))]
     schema = T.StructType([T.StructField(n, T.StringType(), True, {"label": str(x or "")}) for n, x in zip(names, labels, strict=True)])
@@ -59,9 +69,49 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     return filled.where(F.length(F.trim(F.concat_ws("", *names))) > 0) if names else filled
 
 
-def read_json_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """JSON objects as a table of text: the union of keys, missing keys as ``""``, nested values as JSON text."""
-    rows = spark.read.options(multiLine=multi_line).json(path)
+#: Keys under which a JSON object may hold its table.
+JSON_WRAPPERS = ("rows", "data", "records", "items")
+
+
+def read_json_table(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """JSON as a table of text: the union of keys, missing keys as ``""``, nested values as JSON text.
+
+    A file may be one array of objects, one of arrays (columns ``column_1`` …), an object
+    that holds such an array under rows, data, records or items, one other value (column
+    ``value``), or an object per line. ``multi_line`` says that values go over several
+    lines, which one task reads then; unless given, the first line decides: if it is an
+    object by itself, files hold one per line and are split.
+    """
+    if multi_line is None:
+        head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+        multi_line = not (head and _is_json_object(head[0]["value"]) and not any(k in json.loads(head[0]["value"]) for k in JSON_WRAPPERS))
+    if not multi_line:
+        return _cells(spark.read.json(path))
+    # the values of each file, one row each, of whatever shape
+    texts = spark.read.text(path, wholetext=True).where("trim(value) <> ''")
+    inner = F.coalesce(*(F.get_json_object("value", f"$.{k}") for k in JSON_WRAPPERS), F.col("value"))
+    listed = F.when(F.startswith(F.trim(inner), F.lit("[")), inner).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+    values = texts.select(F.explode(F.from_json(listed, "array<string>")).alias("v"))
+    lists = values.agg(F.coalesce(F.bool_and(F.startswith(F.coalesce(F.col("v"), F.lit("")), F.lit("["))), F.lit(False)).alias("lists"), F.max(F.size(F.from_json("v", "array<string>"))).alias("width")).first()
+    if lists["lists"]:
+        cells = F.from_json("v", "array<string>")
+        return values.select(*(F.coalesce(F.get(cells, F.lit(i)), F.lit("")).alias(f"column_{i + 1}") for i in range(max(1, lists["width"]))))
+    objects = values.select(F.when(F.startswith(F.trim("v"), F.lit("{")), F.col("v")).otherwise(F.to_json(F.struct(F.col("v").alias("value")))).alias("v"))
+    if not objects.take(1):
+        return spark.createDataFrame([], "value string")
+    keys = sorted(r[0] for r in objects.select(F.explode(F.json_object_keys("v"))).distinct().collect())  # columns of the table
+    fields = F.from_json("v", "map<string,string>")
+    return objects.select(fields.alias("m")).select(*(F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")).alias(k) for k in keys))
+
+
+def _is_json_object(text: str) -> bool:
+    try:
+        return isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
+
+
+def _cells(rows: DataFrame) -> DataFrame:
     nested = (T.StructType, T.ArrayType, T.MapType)
     cell = lambda f: F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`").cast("string")
     return rows.select(*(F.coalesce(cell(f), F.lit("")).alias(f.name) for f in rows.schema.fields))
@@ -73,25 +123,63 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)).alias("title"), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "").alias("sequence"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) over all non-blank lines of the files in order of partitions, from 0.
+def numbered_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
+    """(file, line_no, value) over the non-blank lines of each file, numbered from 0 in the order of the file; ``keep_blank`` counts blank ones too.
 
-    Lines are numbered inside their partition; the partitions' sizes, one row each,
-    give the offsets.
+    Spark reads a file in blocks and puts blocks in any order into partitions. Lines are
+    numbered inside their block, and the blocks' sizes, one row each, give the offsets.
     """
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i"), "value")
-    sizes = lines.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return lines.join(before, "part").select((F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("i")) - 1).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = (text if keep_blank else text.where("trim(value) <> ''")).withColumn("i", F.monotonically_increasing_id())
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    before = sizes.select("file", "block", "first", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # a block's lines stand in one partition, one behind the other
+    return lines.join(before, ["file", "block"]).select("file", (F.col("before") + F.col("i") - F.col("first")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Four-line FASTQ records: read_no, title, sequence, quality, and ``problem`` (null if none: header, separator or length). Blank lines are dropped."""
-    lines = numbered_lines(spark, path)
+def read_fastq(spark: SparkSession, path: str, keep_blank: bool = False, clip: bool = False) -> DataFrame:
+    """Four-line FASTQ records: file, read_no (from 0 in each file), title, sequence, quality, and ``problem`` (null if none: header, separator or length).
+
+    Blank lines are dropped unless ``keep_blank``, as in a stream; ``clip`` cuts sequence and quality to the shorter one of them.
+    """
+    lines = numbered_lines(spark, path, keep_blank)
     part = lambda k: F.max(F.when(F.col("line_no") % 4 == k, F.col("value")))
-    reads = lines.groupBy(F.floor(F.col("line_no") / 4).alias("read_no")).agg(part(0).alias("head"), part(1).alias("sequence"), part(2).alias("plus"), part(3).alias("quality"))
+    reads = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("read_no")).agg(part(0).alias("head"), part(1).alias("sequence"), part(2).alias("plus"), part(3).alias("quality"))
     problem = F.when(~F.startswith(F.col("head"), F.lit("@")), "header").when(F.col("plus").isNull() | ~F.startswith(F.col("plus"), F.lit("+")), "separator").when(F.coalesce(F.length("sequence") != F.length("quality"), F.lit(True)), "length")
-    return reads.select("read_no", F.regexp_replace("head", "^@", "").alias("title"), "sequence", "quality", problem.alias("problem"))
+    short = F.least(F.length("sequence"), F.coalesce(F.length("quality"), F.lit(0)))
+    cut = lambda c: F.substring(F.col(c), F.lit(1), short).alias(c) if clip else F.col(c)
+    return reads.select("file", "read_no", F.regexp_replace("head", "^@", "").alias("title"), cut("sequence"), cut("quality"), problem.alias("problem"))
+
+
+def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
+    """Header lines of SAM files: kind (HD, SQ, RG, PG, CO) and ``tags`` (map; of a repeated tag the last counts); comment lines have their text under ``CO``."""
+    lines = spark.read.text(path).where(F.startswith(F.col("value"), F.lit("@")))
+    kind, fields = F.substring(F.split("value", "\t")[0], 2, 2), F.filter(F.slice(F.split("value", "\t"), 2, 1000), lambda x: x.rlike("^[^:]+:.+$"))
+    keys = F.array_distinct(F.transform(fields, lambda x: F.substring_index(x, ":", 1)))
+    last = lambda k: F.regexp_replace(F.element_at(F.filter(fields, lambda x: F.substring_index(x, ":", 1) == k), -1), "^[^:]+:", "")
+    tags = F.when(kind == "CO", F.create_map(F.lit("CO"), F.regexp_replace("value", "^@CO\t?", ""))).otherwise(F.map_from_arrays(keys, F.transform(keys, last)))
+    return lines.select(kind.alias("kind"), tags.alias("tags"))
+
+
+def detect_interval_format(lines: Sequence[str]) -> str:
+    """vcf, gtf, gff or bed, from the first lines of a file."""
+    if any(line.startswith(("##fileformat=VCF", "#CHROM")) for line in lines):
+        return "vcf"
+    data = next((line.split("\t") for line in lines if line.strip() and not line.startswith("#")), [])
+    if len(data) < 9:
+        return "bed"
+    return "gtf" if re.search(r'gene_id\s+"|transcript_id\s+"', data[8]) else "gff"
+
+
+def read_intervals(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Intervals of a BED, GFF3, GTF or VCF file in one form: record, start, end, name, strand; without ``kind`` the first lines decide."""
+    kind = kind or detect_interval_format([r["value"] for r in spark.read.text(path).limit(200).collect()])
+    if kind == "bed":
+        return read_bed(spark, path).select("record", "start", "end", "name", "strand")
+    if kind == "vcf":
+        return read_vcf(spark, path).select(F.col("chrom").alias("record"), F.col("pos").alias("start"), "end", F.col("id").alias("name"), F.lit(".").alias("strand"))
+    name = F.coalesce(*(F.try_element_at("attributes", F.lit(k)) for k in ("ID", "Name", "gene_id", "transcript_id")), F.col("type"))
+    return read_features(spark, path, gtf=kind == "gtf").select("record", "start", "end", name.alias("name"), "strand")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

@@ -41,8 +41,26 @@ def bed_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", F.col("record"), (F.col("start") - 1).cast("string"), F.col("end").cast("string"), dot("name"), F.coalesce(F.col("score").cast("string"), F.lit("0")), dot("strand")).alias("value"))
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON files, an object per line."""
+    df.write.json(path)
+
+
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """Every row as a line of a GitHub table (one column, ``value``); ``markdown_head`` goes before them."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\r\n|\r|\n", "<br>")
+    parts = [x for c in df.columns for x in (F.lit("| "), cell(c), F.lit(" "))]
+    return df.select(F.concat(*parts, F.lit("|")).alias("value"))
+
+
+def markdown_head(df: DataFrame) -> str:
+    """The first two lines of a GitHub table of the columns."""
+    names = [c.replace("|", "\\|") for c in df.columns]
+    return "| " + " | ".join(names) + " |\n|" + " --- |" * len(names)
+
+
 def markdown(df: DataFrame, limit: int = 100) -> str:
-    """A GitHub table of the first rows."""
-    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\r\n", "<br>").replace("\n", "<br>")
-    lines = ["| " + " | ".join(map(cell, df.columns)) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, row)) + " |" for row in df.limit(limit).collect()])
+    """A GitHub table of the first ``limit`` rows, for reading; a last line says if there are more. ``markdown_lines`` writes all rows."""
+    rows = [r["value"] for r in markdown_lines(df).limit(limit + 1).collect()]
+    more = [f"\nOnly the first {limit} rows are shown."] if len(rows) > limit else []
+    return "\n".join([markdown_head(df), *rows[:limit], *more])

@@ -69,8 +69,10 @@ def test_samples_repeat(spark):
     df = spark.range(2000).toDF("id")
     a, b = (sorted(r["id"] for r in tables.sample_rows(df.repartition(n), 50, ["id"]).collect()) for n in (3, 7))
     assert a == b and len(a) == 50
-    n = tables.sample_with_replacement(df, 1.0, ["id"]).count()
-    assert 1800 < n < 2200
+    drawn = tables.sample_with_replacement(df, 6000, ["id"]).collect()
+    assert len(drawn) == 6000 and sorted(r["draw"] for r in drawn) == list(range(6000)) and 1850 < len({r["id"] for r in drawn}) < 1950
+    assert tables.sample_with_replacement(df.where("id = 3"), 100, ["id"]).count() == 100
+    assert tables.sample_with_replacement(df.where("id < 0"), 5, ["id"]).count() == 0
 
 
 def test_average_ranks_and_ties(spark):
