@@ -14,6 +14,26 @@ COMPLEMENT_TO = "TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn"
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "[TU]", "U": "[TU]", "R": "[AG]", "Y": "[CTU]", "S": "[CG]", "W": "[ATU]", "K": "[GTU]", "M": "[AC]", "B": "[CGTU]", "D": "[AGTU]", "H": "[ACTU]", "V": "[ACG]", "N": "[ACGTU]"}
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = ["".join(c) for c in product("TCAG", repeat=3)]
+# Fixed values of public standards: amino acids and start codons of the genetic codes by their public numbers.
+CODES = {
+    "1": (STANDARD_CODE, "---M------**--*----M---------------M----------------------------"),
+    "2": ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG", "----------**--------------------MMMM----------**---M------------"),
+    "3": ("FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "----------**----------------------MM---------------M------------"),
+    "4": ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "--MM------**-------M------------MMMM---------------M------------"),
+    "5": ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSSSVVVVAAAADDEEGGGG", "---M------**--------------------MMMM---------------M------------"),
+    "6": ("FFLLSSSSYYQQCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", "--------------*--------------------M----------------------------"),
+    "11": (STANDARD_CODE, "---M------**--*----M------------MMMM---------------M------------"),
+}
+# pKa of the charged groups of proteins.
+PKA_POSITIVE = {"H": 6.5, "K": 10.8, "R": 12.5}
+PKA_NEGATIVE = {"D": 3.9, "E": 4.1, "C": 8.5, "Y": 10.1}
+PKA_N_TERMINUS, PKA_C_TERMINUS = 8.6, 3.6
+
+
+def genetic_code(number: str) -> list[tuple[str, str, bool, bool]]:
+    """(codon, amino acid, is a start, is a stop) of a genetic code by its public number."""
+    acids, starts = CODES[str(number)]
+    return [(c, a, s == "M", a == "*") for c, a, s in zip(CODONS, acids, starts, strict=True)]
 
 
 def count_of(sequence: Column, letters: str) -> Column:
@@ -160,3 +180,84 @@ def in_context(sequence: Column, start: Column, end: Column, flank: int = 10) ->
     first = F.greatest(a - flank, F.lit(1))
     part = lambda i, n: F.substring(sequence, i, n)
     return F.concat(F.lower(part(first, a - first)), F.upper(part(a, b - a + 1)), F.lower(part(b + 1, F.lit(flank))))
+
+
+def protein_charge(sequence: Column, ph: Column) -> Column:
+    """Net charge of a protein at a pH, termini included, by the pKa of its groups."""
+    s = F.upper(sequence)
+    up = lambda pka: 1 / (1 + F.pow(F.lit(10.0), ph - pka))
+    down = lambda pka: 1 / (1 + F.pow(F.lit(10.0), pka - ph))
+    positive = sum((count_of(s, aa) * up(pka) for aa, pka in PKA_POSITIVE.items()), up(PKA_N_TERMINUS))
+    negative = sum((count_of(s, aa) * down(pka) for aa, pka in PKA_NEGATIVE.items()), down(PKA_C_TERMINUS))
+    return positive - negative
+
+
+def isoelectric_point(sequence: Column, rounds: int = 80) -> Column:
+    """The pH at which a protein has no charge, by halving 0 to 14; null without a standard residue."""
+    # the seven counts are taken once and go through the rounds
+    s = F.upper(sequence)
+    groups = {**PKA_POSITIVE, **PKA_NEGATIVE}
+    counts = F.struct(*(count_of(s, aa).cast("double").alias(aa) for aa in groups))
+
+    def charge(c: Column, ph: Column) -> Column:
+        up = lambda pka: 1 / (1 + F.pow(F.lit(10.0), ph - pka))
+        down = lambda pka: 1 / (1 + F.pow(F.lit(10.0), pka - ph))
+        return sum((c[aa] * up(p) for aa, p in PKA_POSITIVE.items()), up(PKA_N_TERMINUS)) - sum((c[aa] * down(p) for aa, p in PKA_NEGATIVE.items()), down(PKA_C_TERMINUS))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = (state["low"] + state["high"]) / 2
+        more = charge(state["c"], middle) > 0
+        return F.struct(F.when(more, middle).otherwise(state["low"]).alias("low"), F.when(more, state["high"]).otherwise(middle).alias("high"), state["c"].alias("c"))
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(14.0).alias("high"), counts.alias("c"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
+    return F.when(count_of(s, "".join(RESIDUE_MASS)) > 0, (end["low"] + end["high"]) / 2)
+
+
+def grouped(sequence: Column, size: int = 10, per_line: int = 6) -> Column:
+    """The sequence in groups of ``size`` letters, ``per_line`` of them in a line."""
+    spaced = lambda line: F.regexp_replace(line, f"(.{{{size}}})(?=.)", "$1 ")
+    lines = F.regexp_extract_all(sequence, F.lit(f"(?s).{{1,{size * per_line}}}"), F.lit(0))
+    return F.array_join(F.transform(lines, spaced), "\n")
+
+
+def auto_window(length: Column) -> Column:
+    """A window size for a sequence of that length: an eighth, at least 6, up to 120 letters; 25 up to 1,000; then the next of 1, 2 or 5 times a power of ten that makes 1,200 windows at most."""
+    rough = F.greatest(F.lit(1.0), F.ceil(length / F.lit(1200.0)).cast("double"))
+    power = F.pow(F.lit(10.0), F.floor(F.log10(rough)))
+    scaled = rough / power
+    nice = F.when(scaled <= 1, power).when(scaled <= 2, 2 * power).when(scaled <= 5, 5 * power).otherwise(10 * power)
+    long_ = F.greatest(F.lit(25.0), F.least(length.cast("double"), nice))
+    return F.when(length <= 0, 1).when(length <= 120, F.greatest(F.lit(6), F.ceil(length / F.lit(8.0)).cast("int"))).when(length <= 1000, 25).otherwise(long_.cast("int"))
+
+
+def codon_alignment(protein: Column, coding: Column) -> Column:
+    """A coding sequence spaced as its aligned protein: three gaps for each gap, else the next codon (gaps where the codons end)."""
+    letters = F.regexp_extract_all(protein, F.lit("(?s)."), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, letter: Column) -> Column:
+        codon = F.substring(coding, state["at"] * 3 + 1, F.lit(3))
+        gap = letter == "-"
+        return F.struct((state["at"] + F.when(gap, 0).otherwise(1)).alias("at"), F.concat(state["out"], F.array(F.when(gap | (F.length(codon) < 3), "---").otherwise(codon))).alias("out"))
+
+    return F.array_join(F.aggregate(letters, start, step)["out"], "")
+
+
+def aligned_bases(start: Column, cigar: Column, sequence: Column) -> Column:
+    """Array of (position, base) of the read letters under M, = and X; without a CIGAR all letters in a row from ``start``. A letter that the read lacks is N."""
+    plain = F.transform(F.regexp_extract_all(F.upper(sequence), F.lit("."), F.lit(0)), lambda b, i: F.struct((start + i).cast("long").alias("position"), b.alias("base")))
+    empty = F.array().cast("array<struct<position:bigint,base:string>>")
+    zero = F.lit(0).cast("long")
+
+    def step(state: Column, op: Column) -> Column:
+        run, both, read, ref = op["size"], op["op"].isin("M", "=", "X"), op["op"].isin("I", "S"), op["op"].isin("D", "N")
+        each = F.transform(F.sequence(zero, run - 1), lambda i: F.struct((state["pos"] + i).alias("position"), F.coalesce(F.nullif(F.substring(F.upper(sequence), (state["at"] + i + 1).cast("int"), F.lit(1)), F.lit("")), F.lit("N")).alias("base")))
+        return F.struct(
+            (state["pos"] + F.when(both | ref, run).otherwise(zero)).alias("pos"),
+            (state["at"] + F.when(both | read, run).otherwise(zero)).alias("at"),
+            F.when(both & (run > 0), F.concat(state["out"], each)).otherwise(state["out"]).alias("out"),
+        )
+
+    first = F.struct(start.cast("long").alias("pos"), zero.alias("at"), empty.alias("out"))
+    return F.when(F.coalesce(cigar, F.lit("*")).isin("*", ""), plain).otherwise(F.aggregate(cigar_ops(cigar), first, step)["out"])

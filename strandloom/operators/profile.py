@@ -137,6 +137,13 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
+def correlation_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The cells of a correlation heat map: a, b, pearson, for every ordered pair of columns."""
+    half = correlations(df, columns)
+    cells = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return half.select(F.explode(F.when(F.col("a") == F.col("b"), F.slice(cells, 1, 1)).otherwise(cells)).alias("e"), "pearson").select("e.a", "e.b", "pearson")
+
+
 def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct pairs of numbers with their rows: a, b, n; written, since marginals and pairs are both read."""
     return written(df.select(number(df, a).alias("a"), number(df, b).alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("n")))

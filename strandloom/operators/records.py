@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -11,8 +12,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import gc_percent
+from strandloom.functions.exprs import natural_key
+from strandloom.functions.seq import count_of, gc_percent
 from strandloom.operators.grouping import with_group_figures
+from strandloom.sources.writers import fasta_text, gff3_lines
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -157,3 +160,33 @@ def moved_place(start: Column, end: Column, edit_start: Column, edit_end: Column
         .when(start < edit_start, place(start, edit_start - 1))
         .otherwise(place(edit_start + F.length(text), end + by))
     )
+
+
+def sort_records(records: DataFrame, mode: str = "length-desc", title: str = "title", sequence: str = "sequence") -> DataFrame:
+    """Records ordered by length, title, gc or ambiguous, each with ``-asc`` or ``-desc``; ties by title in natural order. Null sequences count as empty, missing GC as -1."""
+    s = F.coalesce(F.col(sequence), F.lit(""))
+    name = natural_key(F.col(title))
+    keys = {"length": F.length(s), "title": name, "gc": F.coalesce(gc_percent(s), F.lit(-1.0)), "ambiguous": count_of(F.upper(s), "RYSWKMBDHVNX")}
+    by, _, way = mode.rpartition("-")
+    if by not in keys or way not in ("asc", "desc"):
+        raise ValueError(f"unknown order {mode!r}")
+    return records.orderBy(keys[by].desc() if way == "desc" else keys[by].asc(), name, title)
+
+
+def id_list(text: str) -> list[str]:
+    """Record ids of a pasted list: separated by line breaks, commas, semicolons or tabs; ``#`` lines are comments, ``>`` before an id is dropped."""
+    lines = [line for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if not line.strip().startswith("#")]
+    return [p for line in lines for part in re.split(r"[,;\t]", line) if (p := part.strip().lstrip(">").strip())]
+
+
+def gff3_bundle(records: DataFrame, features: DataFrame, name: str = "name", sequence: str = "sequence") -> DataFrame:
+    """Features and the letters of their records as GFF3 with a FASTA part: part (0 head, 1 features, 2 FASTA mark, 3 records), name, value, to be written in this order.
+
+    Features (see ``writers.gff3_lines``) whose record is not there drop out; records without features stay.
+    """
+    known = records.where(F.col(name).isNotNull() & F.col(sequence).isNotNull()).select(F.col(name).alias("name"), F.col(sequence).alias("_s"))
+    kept = features.join(known.select(F.col("name").alias("record")).distinct(), "record", "left_semi")
+    lines = gff3_lines(kept).select(F.lit(1).alias("part"), F.substring_index("value", "\t", 1).alias("name"), "value")
+    letters = known.select(F.lit(3).alias("part"), "name", fasta_text(F.col("name"), F.col("_s")).alias("value"))
+    marks = records.sparkSession.createDataFrame([(0, "", "##gff-version 3"), (2, "", "##FASTA")], "part int, name string, value string")
+    return marks.unionByName(lines).unionByName(letters)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.functions.seq import CODONS, STANDARD_CODE, codons, iupac_regex, reverse_complement, windows
+from strandloom.functions.seq import CODONS, STANDARD_CODE, auto_window, codons, iupac_regex, reverse_complement, windows
 from strandloom.operators.grouping import spread_join
 from strandloom.session import written
 
@@ -30,6 +30,16 @@ def windows_of(df: DataFrame, ids: Sequence[str], sequence: str, size: int, step
     return rows.select(*ids, F.col("w.start").alias("start"), (F.col("w.start") + size - 1).alias("end"), F.round(gc * 100 / F.when(known > 0, known), 4).alias("gc_percent"), F.round((n("G") - n("C")) / F.when(gc > 0, gc), 4).alias("gc_skew"))
 
 
+def auto_windows(df: DataFrame, ids: Sequence[str], sequence: str) -> DataFrame:
+    """Windows side by side of a size that suits each sequence (``auto_window``): ids, start, end, gc_percent, gc_skew; the last one may be shorter."""
+    rows = df.where(F.length(sequence) > 0).select(*ids, F.upper(sequence).alias("_s")).withColumn("_w", auto_window(F.length("_s")))
+    each = rows.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("_s"), F.col("_w"))))
+    text = F.substring(F.col("_s"), F.col("start"), F.col("_w"))
+    n = lambda letters: F.length(text) - F.length(F.translate(text, letters, ""))
+    known, gc = n("ACGTU"), n("GC")
+    return each.select(*ids, "start", (F.col("start") + F.length(text) - 1).alias("end"), F.round(gc * 100 / F.when(known > 0, known), 4).alias("gc_percent"), F.round((n("G") - n("C")) / F.when(gc > 0, gc), 4).alias("gc_skew"))
+
+
 def codon_usage(df: DataFrame, groups: Sequence[str], sequence: str) -> DataFrame:
     """Codon counts of frame 0 per group with the amino acid, the number per thousand and the share within the amino acid; codons with other letters drop out."""
     table = F.create_map(*(F.lit(x) for pair in zip(CODONS, STANDARD_CODE, strict=True) for x in pair))
@@ -211,12 +221,12 @@ def equal_classes(df: DataFrame) -> DataFrame:
     return spread_join(rows, rows.groupBy("s").agg(F.min("key").alias("class_key")), ["s"], F.pmod(F.xxhash64("key"), F.lit(64))).select("key", "class_key")
 
 
-def reciprocal_best(a: DataFrame, b: DataFrame, k: int = 8, least: int = 1) -> DataFrame:
-    """Reciprocal best matches of two sets of (key, sequence) by shared distinct k-mers: key_a, key_b, shared.
+def kmer_pairs(a: DataFrame, b: DataFrame, k: int = 8, least: int = 1) -> DataFrame:
+    """Pairs of two sets of (key, sequence) by shared distinct k-mers: key_a, key_b, shared (``least`` or more).
 
     Equal sequences are one entry of their smallest key on each side (``equal_classes``
     gives the members), so copies do not multiply pairs. A frequent k-mer of side a is
-    spread over salts. Ties go to the smaller key.
+    spread over salts.
     """
 
     def kmers(df: DataFrame, key: str) -> DataFrame:
@@ -224,12 +234,27 @@ def reciprocal_best(a: DataFrame, b: DataFrame, k: int = 8, least: int = 1) -> D
         return one.select(key, F.explode(F.array_distinct(F.transform(windows(F.col("s"), k, 1), lambda w: w["text"]))).alias("kmer"))
 
     met = spread_join(kmers(a, "key_a"), kmers(b, "key_b"), ["kmer"], F.pmod(F.xxhash64("key_a"), F.lit(16)))
-    pairs = written(met.groupBy("key_a", "key_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least))
+    return met.groupBy("key_a", "key_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def reciprocal_best(a: DataFrame, b: DataFrame, k: int = 8, least: int = 1) -> DataFrame:
+    """Reciprocal best matches among ``kmer_pairs``: key_a, key_b, shared. Ties go to the smaller key."""
+    pairs = written(kmer_pairs(a, b, k, least))
     best_a = pairs.groupBy("key_a").agg(F.min_by("key_b", F.struct(-F.col("shared"), "key_b")).alias("key_b"))
     best_b = pairs.groupBy("key_b").agg(F.min_by("key_a", F.struct(-F.col("shared"), "key_a")).alias("key_a"))
     return pairs.join(best_a, ["key_a", "key_b"], "left_semi").join(best_b, ["key_a", "key_b"], "left_semi")
 
 
+def first_hits(reads: DataFrame, references: DataFrame, seed: int = 16) -> DataFrame:
+    """The first exact place of each read: id, record_id, strand, start, end. The smallest record id comes first, in it the forward strand, then the smallest start.
+
+    ``reads`` has (id, pattern), ``references`` (record_id, sequence) with long ids; reads without a place drop out.
+    """
+    hits = find_patterns(references, "record_id", "sequence", reads, seed)
+    best = hits.groupBy("id").agg(F.min(F.struct("record_id", (F.col("strand") == "-").alias("turned"), "start", "end", "strand")).alias("h"))
+    return best.select("id", "h.record_id", "h.strand", "h.start", "h.end")
+
+
 def best_unmatched(pairs: DataFrame, matched: DataFrame, keys: DataFrame) -> DataFrame:
     """Entries of side a without a reciprocal match, each with its best partner: key_a, key_b and shared (null without any).
 

@@ -98,8 +98,9 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return _rounded(r.withColumn("p", f_p("f", F.col("df_between").cast("double"), F.col("df_within").cast("double"))), digits=4)
 
 
-#: What each row of a tie of t rows adds to the tie correction.
-_tied = F.pow(F.col("r_ties").cast("double"), F.lit(2)) - 1
+def _tied() -> Column:
+    """What each row of a tie of t rows adds to the tie correction."""
+    return F.pow(F.col("r_ties").cast("double"), F.lit(2)) - 1
 
 
 def _ranked_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -111,7 +112,7 @@ def _ranked_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, df and p."""
     ranked = _ranked_cells(numeric_groups(df, group, value), ["g", "x"])
-    groups = ranked.groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("c")).alias("r"), F.sum(_tied * F.col("c")).alias("ties"))
+    groups = ranked.groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("c")).alias("r"), F.sum(_tied() * F.col("c")).alias("ties"))
     s = groups.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.pow("r", F.lit(2)) / F.col("n")).alias("q"), F.sum("ties").alias("ties"))
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.when(F.col("ties") < n * n * n - n, 1 - F.col("ties") / (n * n * n - n))
@@ -123,7 +124,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
     rows = numeric_groups(df, group, value).where(F.col("g").isin(a, b))
     ranked = _ranked_cells(rows, ["g", "x"])
     first, count = F.col("g") == a, lambda c: F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0).cast("long"))
-    s = ranked.agg(count(first).alias("n_a"), count(~first).alias("n_b"), F.sum(F.when(first, F.col("r") * F.col("c"))).alias("r_a"), F.sum(_tied * F.col("c")).alias("ties"))
+    s = ranked.agg(count(first).alias("n_a"), count(~first).alias("n_b"), F.sum(F.when(first, F.col("r") * F.col("c"))).alias("r_a"), F.sum(_tied() * F.col("c")).alias("ties"))
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     ua = F.col("r_a") - na * (na + 1) / 2
     u, n = F.least(ua, na * nb - ua), na + nb
@@ -146,7 +147,7 @@ def wilcoxon(df: DataFrame, first: str, second: str) -> DataFrame:
     d = df.select((number(df, second) - number(df, first)).alias("d")).where("d IS NOT NULL AND d <> 0").withColumn("x", F.abs("d"))
     ranked = _ranked_cells(d, ["d", "x"])
     side = lambda c: F.sum(F.when(c, F.col("r") * F.col("c")).otherwise(0.0))
-    s = ranked.agg(F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("n"), side(F.col("d") > 0).alias("w_plus"), side(F.col("d") < 0).alias("w_minus"), F.sum(_tied * F.col("c")).alias("ties"))
+    s = ranked.agg(F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("n"), side(F.col("d") > 0).alias("w_plus"), side(F.col("d") < 0).alias("w_minus"), F.sum(_tied() * F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     gap = F.col("w_plus") - n * (n + 1) / 4

@@ -156,16 +156,20 @@ def sam_pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sam_alignments").groupBy("status", seq.pair_status(F.col("flag")).alias("pair")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT aln_id, reference, start, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) AS op, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), 1) AS i FROM sam_alignments WHERE reference <> '*' AND start >= 1 AND flag & 4 = 0),
+_BLOCK_SWEEP = """WITH c AS (SELECT aln_id, reference, start, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) AS op, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), 1) AS i FROM sam_alignments WHERE reference <> '*' AND start >= 1 AND flag & 4 = 0),
 p AS (SELECT *, start + coalesce(sum(CASE WHEN op[-1:] IN ('M', 'D', 'N', '=', 'X') THEN CAST(op[:-2] AS BIGINT) ELSE 0 END) OVER (PARTITION BY aln_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c),
-b AS (SELECT reference, s, s + CAST(op[:-2] AS BIGINT) - 1 AS t FROM p WHERE op[-1:] IN ('M', '=', 'X') AND CAST(op[:-2] AS BIGINT) > 0), """ + _SWEEP.format(k="reference", s="s", e="t", f="b") + """
+b AS (SELECT reference, s, s + CAST(op[:-2] AS BIGINT) - 1 AS t FROM p WHERE op[-1:] IN ('M', '=', 'X') AND CAST(op[:-2] AS BIGINT) > 0), """ + _SWEEP.format(k="reference", s="s", e="t", f="b") + """"""
+
+
+@query(_BLOCK_SWEEP + """
 SELECT k AS reference, CAST(sum(q - p + 1) AS BIGINT) AS covered, CAST(sum(depth * (q - p + 1)) AS BIGINT) AS total_depth, round(sum(depth * (q - p + 1)) / sum(q - p + 1), 6) AS mean_depth, CAST(max(depth) AS BIGINT) AS max_depth FROM w WHERE depth > 0 GROUP BY k""")
 def sam_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Coverage by reference from aligned blocks."""
     return intervals.depth_summary(genomics.alignment_depth(table(spark, d, "sam_alignments")), ["reference"])
 
 
-@query()
+@query(_BLOCK_SWEEP + """, x AS (SELECT k AS reference, p, q, depth, unnest(range(CAST((p - 1) // 100000 AS BIGINT), CAST((q - 1) // 100000 + 1 AS BIGINT))) AS w FROM w WHERE depth > 0), y AS (SELECT reference, w, depth, least(q, (w + 1) * 100000) - greatest(p, w * 100000 + 1) + 1 AS n FROM x)
+SELECT reference, CAST(w * 100000 + 1 AS BIGINT) AS window_start, CAST(sum(n) AS BIGINT) AS covered, round(sum(n * depth) / 100000, 6) AS mean_depth, CAST(max(depth) AS BIGINT) AS max_depth FROM y GROUP BY ALL""")
 def sam_window_depth(spark: SparkSession, d: str) -> DataFrame:
     """Depth in windows of 100,000 positions."""
     return genomics.window_depth(genomics.alignment_depth(table(spark, d, "sam_alignments")))
@@ -256,7 +260,14 @@ def technical_hits(spark: SparkSession, d: str) -> DataFrame:
     return scan.find_patterns(_dna(spark, d), "record_id", "sequence", table(spark, d, "technical_sequences"))
 
 
-@query()
+_ORFS = f"""WITH s AS (SELECT record_id, regexp_replace(s, '[^ACGTRYSWKMBDHVNX]', '', 'g') AS s FROM ({_DNA})), b AS (SELECT record_id, '+' AS strand, s FROM s UNION ALL SELECT record_id, '-', reverse(translate(s, 'ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN')) FROM s),
+c AS (SELECT record_id, strand, length(s) AS n, f, i, substr(s, CAST(i AS INTEGER), 3) AS c FROM (SELECT *, unnest(range(f, length(s) - 1, 3)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS f FROM b))),
+k AS (SELECT *, coalesce(sum(CASE WHEN c IN ('TAA', 'TAG', 'TGA') THEN 1 ELSE 0 END) OVER (PARTITION BY record_id, strand, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM c),
+o AS (SELECT record_id, strand, f, stretch, any_value(n) AS n, min(i) FILTER (c = 'ATG') AS a, max(i) FILTER (c IN ('TAA', 'TAG', 'TGA')) AS z FROM k GROUP BY ALL)
+SELECT record_id, strand, CAST(f AS INTEGER) AS frame, CASE WHEN strand = '+' THEN a ELSE n - (z + 2) + 1 END AS start, CASE WHEN strand = '+' THEN z + 2 ELSE n - a + 1 END AS "end", (z - a) // 3 AS n_codons FROM o WHERE a IS NOT NULL AND z IS NOT NULL AND (z - a) // 3 >= 20"""
+
+
+@query(_ORFS)
 def open_reading_frames(spark: SparkSession, d: str) -> DataFrame:
     """Open reading frames of 20 codons and more."""
     return scan.find_orfs(_dna(spark, d), "record_id", "sequence", 20)
@@ -277,7 +288,12 @@ def melting_temperatures(spark: SparkSession, d: str) -> DataFrame:
     return _dna(spark, d).where("sequence <> ''").select("record_id", F.round(seq.melting_temperature(F.col("sequence")), 4).alias("tm"))
 
 
-@query()
+_RESIDUES = "length(regexp_replace(s, '[^{}]', '', 'g'))"
+_MASS = " + ".join(["18.015::DOUBLE", *(f"{_RESIDUES.format(aa)} * {m}::DOUBLE" for aa, m in seq.RESIDUE_MASS.items())])
+_HYDRO = " + ".join(f"{_RESIDUES.format(aa)} * ({h})" for aa, h in seq.HYDROPATHY.items())
+
+
+@query(f"""WITH s AS (SELECT record_id, {_CLEAN} AS s FROM sequence_records WHERE alphabet = 'protein' AND sequence IS NOT NULL) SELECT record_id, CASE WHEN s <> '' THEN round({_MASS}, 3) END AS mass, round(CAST({_HYDRO} AS DOUBLE) / nullif({_RESIDUES.format("".join(seq.HYDROPATHY))}, 0), 4) AS hydropathy FROM s""")
 def protein_properties(spark: SparkSession, d: str) -> DataFrame:
     """Mass and mean hydropathy of proteins."""
     s = F.regexp_replace("sequence", r"\s+", "")
@@ -324,8 +340,13 @@ def records_by_id(spark: SparkSession, d: str) -> DataFrame:
     return records.extract_by_id(rows, names).select("record_id")
 
 
-@query()
+_WEIGHTS = {"A": [0.1, 1.0, 0.1, 1.0, 0.9, 1.0], "C": [0.1, 0, 0, 0, 0, 0], "G": [0, 0, 0, 0, 0, 0.1], "T": [1.0, 0.1, 1.0, 0.1, 0.5, 0.1]}
+_LOWS = [min(column) for column in zip(*_WEIGHTS.values(), strict=True)]
+_SCORE = " + ".join("CASE substr(s, CAST(a AS INTEGER) + " + str(j) + ", 1) " + " ".join(f"WHEN '{c}' THEN {w[j]}::DOUBLE" for c, w in _WEIGHTS.items()) + f" ELSE {_LOWS[j]}::DOUBLE END" for j in range(6))
+_RANGE = sum(max(column) for column in zip(*_WEIGHTS.values(), strict=True)) - sum(_LOWS)
+
+
+@query(f"""WITH s AS ({_DNA}), p AS (SELECT record_id, s, unnest(range(1, length(s) - 4)) AS a FROM s), x AS (SELECT record_id, a, {_SCORE} AS score FROM p) SELECT record_id, a AS start, a + 5 AS "end", round(score, 6) AS score, round((score - {sum(_LOWS)}) / {_RANGE}, 6) AS relative FROM x WHERE (score - {sum(_LOWS)}) / {_RANGE} >= 0.95""")
 def weight_hits(spark: SparkSession, d: str) -> DataFrame:
     """Places of a TATA-like position weight matrix."""
-    weights = {"A": [0.1, 1.0, 0.1, 1.0, 0.9, 1.0], "C": [0.1, 0, 0, 0, 0, 0], "G": [0, 0, 0, 0, 0, 0.1], "T": [1.0, 0.1, 1.0, 0.1, 0.5, 0.1]}
-    return records.scan_weights(_dna(spark, d), "record_id", "sequence", weights, 0.95)
+    return records.scan_weights(_dna(spark, d), "record_id", "sequence", _WEIGHTS, 0.95).withColumns({c: F.round(c, 6) for c in ("score", "relative")})

@@ -241,7 +241,9 @@ def histogram_fixed(spark: SparkSession, d: str) -> DataFrame:
     return plotdata.histogram(table(spark, d, "orders"), "o_totalprice", 20)
 
 
-@query()
+@query("""WITH s AS (SELECT min(value) AS low, max(value) AS high, count(value) AS n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events), b AS (SELECT low, high, CAST(greatest(1, least(80, ceil((high - low) / (2 * iqr / pow(n, 1 / 3.0))))) AS INTEGER) AS bins FROM s), g AS (SELECT unnest(range(bins)) AS bin, low, (high - low) / bins AS step FROM b),
+c AS (SELECT CAST(least(floor((value - low) / ((high - low) / bins)), bins - 1) AS INTEGER) AS bin, count(*) AS n FROM events, b WHERE value IS NOT NULL GROUP BY 1)
+SELECT CAST(bin AS INTEGER) AS bin, round(low + bin * step, 6) AS bin_start, round(low + (bin + 1) * step, 6) AS bin_end, coalesce(n, 0) AS n_values FROM g LEFT JOIN c USING (bin)""")
 def histogram_auto(spark: SparkSession, d: str) -> DataFrame:
     """Histogram with bins from the data."""
     return plotdata.histogram(table(spark, d, "events"), "value")
@@ -255,7 +257,9 @@ def box_plot(spark: SparkSession, d: str) -> DataFrame:
     return plotdata.box(table(spark, d, "sam_alignments").where("reference <> '*'"), ["reference"], "mapq")
 
 
-@query()
+@query("""WITH c AS (SELECT strand, CAST(mapq AS DOUBLE) AS v, count(*) AS c FROM sam_alignments WHERE mapq IS NOT NULL AND reference <> '*' GROUP BY ALL), r AS (SELECT strand, CAST(mapq AS DOUBLE) AS v FROM sam_alignments WHERE mapq IS NOT NULL AND reference <> '*'), w AS (SELECT strand, count(*) AS n, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM r GROUP BY 1),
+h AS (SELECT strand, n, 0.9 * CASE WHEN iqr > 0 THEN least(sd, iqr / 1.34) ELSE sd END * pow(n, -0.2) AS h FROM w), g AS (SELECT unnest(range(32)) AS i, low, (high - low) / 31 AS step FROM (SELECT min(v) AS low, max(v) AS high FROM c)), e AS (SELECT strand, low + i * step AS x, c.v, c.c, n, h FROM c JOIN h USING (strand), g WHERE h > 0)
+SELECT strand, round(x, 6) AS x, round(sum(exp(-pow((x - v) / h, 2) / 2) * c) / max(n * h) / sqrt(2 * pi()), 6) AS density FROM e GROUP BY strand, x""")
 def violin_density(spark: SparkSession, d: str) -> DataFrame:
     """Density of mapq by strand."""
     return plotdata.density(table(spark, d, "sam_alignments").where("reference <> '*'"), ["strand"], "mapq")

@@ -1,8 +1,8 @@
 import pytest
 
-from strandloom.plans import design_queries, flow_queries, genome_queries, problem_queries, stat_queries, table_queries, variant_queries
+from strandloom.plans import design_queries, figure_queries, flow_queries, genome_queries, problem_queries, stat_queries, table_queries, variant_queries
 
-MODULES = (problem_queries, table_queries, stat_queries, genome_queries, design_queries, flow_queries, variant_queries)
+MODULES = (problem_queries, table_queries, stat_queries, genome_queries, design_queries, flow_queries, variant_queries, figure_queries)
 WITH_SQL = [(m.registry, n) for m in MODULES for n in m.registry.queries if n in m.registry.sql]
 WITHOUT = [(m.registry, n) for m in MODULES for n in m.registry.queries if n not in m.registry.sql]
 
