@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,10 @@ def phrases(terms: DataFrame, frequencies: DataFrame, length: int) -> DataFrame:
     return ranked.select("item_id", "phrase", F.col("r")[0]["item_pos"].alias("p1"), F.col("r")[0]["term"].alias("t1"), second["item_pos"].alias("p2"), second["term"].alias("t2"))
 
 
-def anchors(terms: DataFrame, frequencies: DataFrame, length: int, count: int) -> DataFrame:
-    """The ``count`` rarest words of each run of ``length`` item words: item_id, item_pos, term. Words that the corpus lacks count among them."""
-    known = terms.join(frequencies, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    in_runs = known.select("*", F.explode(F.sequence(F.greatest(F.col("item_pos") - (length - 1), F.lit(0)), F.col("item_pos"))).alias("phrase"))
-    ranked = in_runs.groupBy("item_id", "phrase").agg(F.array_sort(F.collect_list(F.struct("n", "item_pos", "term"))).alias("r")).where(F.size("r") == length)
-    return ranked.select("item_id", F.explode(F.slice("r", 1, count)).alias("a")).select("item_id", "a.item_pos", "a.term").distinct()
+def steps_within(words_: int, slop: int) -> list[tuple[int, ...]]:
+    """Moves of the second and later of so many words against the first, such that all lie within ``slop``."""
+    moves = product(range(-slop, slop + 1), repeat=words_ - 1)
+    return [m for m in moves if max(0, *m) - min(0, *m) <= slop] if words_ > 1 else [()]
 
 
 class LeakSearch:
@@ -107,22 +107,28 @@ class LeakSearch:
 
         A document matches if at least ``least`` words of a run of ``phrase`` item
         words stand at shifts that differ by ``slop`` at most, whichever words they
-        are; ``n_words`` is the most words so found for the pair. Such words include
-        two of the ``phrase - least + 2`` rarest words of the run (one of the
-        ``phrase - least + 1`` rarest where ``least`` is 1), so shifts with fewer are not compared.
+        are; ``n_words`` is the most words so found for the pair. At most ``phrase - least``
+        words are missing, so of one more pieces into which the run is cut, one is whole: its first
+        words, up to three, stand in the document within ``slop`` of their order.
+        Each place of a document is tried with all such moves of the words that
+        follow, by a hash of the words; what agrees is compared on all words of the item.
         """
-        both = min(2, least)
-        rare = written(anchors(self.terms, self.frequencies, self.phrase, self.phrase - least + both))
-        met = self._postings(rare).join(rare, "term").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        # windows of shifts upto - slop .. upto with enough of the rare words
-        windows = met.select("doc_id", "item_id", "item_pos", F.explode(F.sequence(F.col("shift"), F.col("shift") + slop)).alias("upto")).groupBy("doc_id", "item_id", "upto").agg(F.min("item_pos").alias("a"), F.max("item_pos").alias("b"))
-        kept = windows if both == 1 else windows.where("a < b")
-        hits = self._matched(kept.select("doc_id", "item_id", F.explode(F.sequence(F.col("upto") - slop, F.col("upto"))).alias("shift"))).distinct()
-        spread = hits.select(
-            "doc_id",
-            "item_id",
-            "item_pos",
-            F.explode(F.sequence(F.col("shift"), F.col("shift") + slop)).alias("upto"),
-        ).select("*", F.explode(F.sequence(F.greatest(F.col("item_pos") - (self.phrase - 1), F.lit(0)), F.col("item_pos"))).alias("phrase"))
-        counted = spread.groupBy("doc_id", "item_id", "upto", "phrase").agg(F.count_distinct("item_pos").alias("n_words"))
+        piece = min(3, self.phrase // (self.phrase - least + 1))
+        every = F.array_agg(F.struct("item_pos", "term"))
+        held = self.terms.groupBy("item_id").agg(F.transform(F.array_sort(every), lambda t: t["term"]).alias("w")).where(F.size("w") >= self.phrase)
+        wanted = held.select("item_id", "w", F.posexplode("w").alias("at", "term")).where(F.col("at") + piece <= F.size("w"))
+        keys = wanted.select("item_id", "at", F.xxhash64(*(F.get("w", F.col("at") + k) for k in range(piece))).alias("key"))
+        places = self.docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+        tried = []
+        for moves in steps_within(piece, slop):
+            key = F.xxhash64(F.col("term"), *(F.get("w", F.col("pos") + k + 1 + m) for k, m in enumerate(moves)))
+            tried.append(F.struct(key.alias("key"), F.lit(max(0, *moves) if moves else 0).alias("most"), F.lit(min(0, *moves) if moves else 0).alias("least")))
+        met = places.select("doc_id", "pos", F.inline(F.array(*tried))).join(keys, "key").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "most", "least").distinct()
+        # shifts of the windows of slop that hold the piece
+        around = F.explode(F.sequence(F.col("shift") + F.col("most") - slop, F.col("shift") + F.col("least") + slop))
+        hits = self._matched(met.select("doc_id", "item_id", around.alias("shift"))).distinct()
+        each = hits.select("doc_id", "item_id", "item_pos", F.explode(F.sequence(F.col("shift"), F.col("shift") + slop)).alias("upto")).repartition("doc_id", "item_id", "upto").distinct()
+        # the words of the run that ends at each word found; runs that would begin before the item have no more than its first one
+        run = Window.partitionBy("doc_id", "item_id", "upto").orderBy("item_pos").rangeBetween(1 - self.phrase, 0)
+        counted = each.select("doc_id", "item_id", F.count("*").over(run).alias("n_words"))
         return counted.where(F.col("n_words") >= least).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
