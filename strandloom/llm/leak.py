@@ -12,6 +12,8 @@ from strandloom.session import written
 
 #: Words of a leaked passage.
 PHRASE = 12
+#: Pieces of item words that ``near`` sends to every executor, of some 40 bytes each; more are shuffled.
+MOST_SENT = 1_000_000
 
 
 def item_terms(items: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -118,6 +120,9 @@ class LeakSearch:
         held = self.terms.groupBy("item_id").agg(F.transform(F.array_sort(every), lambda t: t["term"]).alias("w")).where(F.size("w") >= self.phrase)
         wanted = held.select("item_id", "w", F.posexplode("w").alias("at", "term")).where(F.col("at") + piece <= F.size("w"))
         keys = wanted.select("item_id", "at", F.xxhash64(*(F.get("w", F.col("at") + k) for k in range(piece))).alias("key"))
+        # Spark would size the documents by their file, not by the moves of all places, and might send them instead
+        keys = written(keys)
+        keys = F.broadcast(keys) if keys.count() <= MOST_SENT else keys.hint("shuffle_hash")
         places = self.docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
         tried = []
         for moves in steps_within(piece, slop):
