@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -11,7 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import windows
+from strandloom.functions.seq import reverse_complement, windows
+from strandloom.operators.grouping import spread_join
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -87,14 +89,88 @@ def align_pairs(pairs: DataFrame, left: str, right: str, match: float = 2, misma
 def diagonals(a: DataFrame, b: DataFrame, k: int = 12) -> DataFrame:
     """Runs of equal letters of two sets of (key, sequence), as in a dot plot: key_a, key_b, start_a, start_b, length (>= k).
 
-    Words of ``k`` letters meet in an equi-join; neighbouring words of a diagonal are one run. Case does not count;
+    Words of ``k`` letters meet in an equi-join, the places of a frequent word of ``a`` being spread over salts; neighbouring words of a diagonal are one run. Case does not count;
     short and null sequences have no words. Give ``a`` each key once, and likewise ``b``.
     """
 
     def words_of(df: DataFrame, side: str) -> DataFrame:
         return df.where(F.length("sequence") >= k).select(F.col("key").alias(f"key_{side}"), F.explode(windows(F.upper("sequence"), k, 1)).alias("w")).select(f"key_{side}", F.col("w.start").cast("long").alias(f"at_{side}"), F.col("w.text").alias("word"))
 
-    hits = words_of(a, "a").join(words_of(b, "b"), "word").select("key_a", "key_b", "at_a", (F.col("at_a") - F.col("at_b")).alias("shift"))
+    met = spread_join(words_of(a, "a"), words_of(b, "b"), ["word"], F.pmod(F.xxhash64("key_a", "at_a"), F.lit(16)))
+    hits = met.select("key_a", "key_b", "at_a", (F.col("at_a") - F.col("at_b")).alias("shift"))
     order = Window.partitionBy("key_a", "key_b", "shift").orderBy("at_a")  # at most as many rows as the shorter text has words
     runs = hits.withColumn("run", F.col("at_a") - F.row_number().over(order))
     return runs.groupBy("key_a", "key_b", "shift", "run").agg(F.min("at_a").alias("start_a"), F.count("*").alias("_n")).select("key_a", "key_b", "start_a", (F.col("start_a") - F.col("shift")).alias("start_b"), (F.col("_n") + k - 1).alias("length"))
+
+
+def extended(a: str, b: str, i: int, j: int, n: int, penalty: int, drop: int) -> tuple[int, int]:
+    """First and last place in ``a`` (from 0) of an equal run of ``n`` letters at i and j, extended both ways without gaps.
+
+    A letter counts 1 or ``-penalty``; each side ends at its best sum, and stops when it falls more than ``drop`` below that.
+    """
+
+    def reach(step: int, x: int, y: int, most: int) -> int:
+        total = best = far = 0
+        for k in range(1, most + 1):
+            total += 1 if a[x + step * k] == b[y + step * k] else -penalty
+            if total > best:
+                best, far = total, k
+            if best - total > drop:
+                break
+        return far
+
+    return i - reach(-1, i, j, min(i, j)), i + n - 1 + reach(1, i + n - 1, j + n - 1, min(len(a) - i, len(b) - j) - n)
+
+
+def similar_stretches(records: DataFrame, references: DataFrame, k: int = 11, least: int = 30, identity: float = 90.0, penalty: int = 5, drop: int = 12, same: float = 0.8) -> DataFrame:
+    """Stretches of (key, sequence) records that resemble references (key, sequence) of either strand, without gaps: contaminations.
+
+    Equal runs of ``k`` nucleotides seed a stretch, which is extended both ways
+    (``extended``); it counts with ``least`` letters and ``identity`` percent. Of
+    stretches of one record, reference and strand that share ``same`` of the shorter one, the one
+    of the best score (length - ``penalty`` x mismatches) stays, ties by length and place.
+
+    Returns key, reference, strand, start, end (on the record as stored), reference_start,
+    reference_end, mismatches, identity, score. Runs of a pair are bounded by its two texts. Letters other than nucleotides drop out first.
+    """
+    letters = lambda c: F.translate(F.regexp_replace(F.upper(c), "[^ACGTURYSWKMBDHVN]+", ""), "U", "T")
+    plus = records.where(F.col("sequence").isNotNull()).select("key", F.lit("+").alias("strand"), letters("sequence").alias("s"))
+    both = plus.unionByName(plus.select("key", F.lit("-").alias("strand"), reverse_complement(F.col("s")).alias("s")))
+    targets = references.where(F.col("sequence").isNotNull()).select(F.col("key").alias("reference"), letters("sequence").alias("t"))
+    runs = diagonals(both.select(F.struct("key", "strand").alias("key"), F.col("s").alias("sequence")), targets.select(F.col("reference").alias("key"), F.col("t").alias("sequence")), k)
+    seeds = runs.groupBy(F.col("key_a.key").alias("key"), F.col("key_a.strand").alias("strand"), F.col("key_b").alias("reference")).agg(F.collect_list(F.struct("start_a", "start_b", "length")).alias("runs"))
+    pairs = seeds.join(both, ["key", "strand"]).join(targets, "reference").select("key", "reference", "strand", "s", "t", "runs")
+
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = re.compile(f"[ACGT]{{{k}}}")  # a run of ambiguous letters seeds nothing
+        for batch in batches:
+            origin, out = [], []
+            for row, (strand, s, t, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
+                seen = set()
+                for run in found:
+                    i, j, n = run["start_a"] - 1, run["start_b"] - 1, run["length"]
+                    if plain.search(s, i, i + n):
+                        first, last = extended(s, t, i, j, n, penalty, drop)
+                        seen.add((first, last, j - i + first))
+                kept: list[tuple[int, int, int, int, int]] = []
+                rated = []
+                for first, last, at in seen:
+                    n = last - first + 1
+                    wrong = sum(x != y for x, y in zip(s[first : last + 1], t[at : at + n], strict=True))
+                    if n >= least and round((n - wrong) / n * 100, 2) >= identity:
+                        a, b = (first + 1, last + 1) if strand == "+" else (len(s) - last, len(s) - first)
+                        rated.append((penalty * wrong - n, -n, a, b, at + 1, wrong))
+                for score, n, a, b, at, wrong in sorted(rated):
+                    if all(min(b, d) - max(a, c) + 1 < same * min(b - a, d - c) + same for c, d, *_ in kept):
+                        kept.append((a, b, at, wrong, -score))
+                origin += [row] * len(kept)
+                out += [(a, b, at, at + b - a, wrong, round((b - a + 1 - wrong) / (b - a + 1) * 100, 2), score) for a, b, at, wrong, score in kept]
+            if out:
+                taken = [batch.column(c).take(pa.array(origin)) for c in range(3)]
+                columns = list(zip(*out, strict=True))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, x) for c, x in zip(columns, kinds, strict=True))], names=["key", "reference", "strand", "start", "end", "reference_start", "reference_end", "mismatches", "identity", "score"])
+
+    kinds = dict(pairs.dtypes)
+    schema = f"key {kinds['key']}, reference {kinds['reference']}, strand string, start long, end long, reference_start long, reference_end long, mismatches long, identity double, score long"
+    return pairs.mapInArrow(stretch, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
-from strandloom.operators import blocks, genomics, plotdata, profile, records, scan, stats
+from strandloom.operators import align, blocks, genomics, plotdata, profile, records, scan, stats
 from strandloom.plans.design_queries import _PROTEIN, _proteins
 from strandloom.plans.genome_queries import _DNA, _dna
 from strandloom.plans.registry import Registry
@@ -83,6 +83,25 @@ def first_read_hits(spark: SparkSession, d: str) -> DataFrame:
     return scan.first_hits(table(spark, d, "technical_sequences"), _dna(spark, d))
 
 
+@query()
+def contaminations(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of records that resemble a technical sequence."""
+    rows = _dna(spark, d).select(F.col("record_id").alias("key"), "sequence")
+    return align.similar_stretches(rows, table(spark, d, "technical_sequences").select(F.col("id").alias("key"), F.col("pattern").alias("sequence")), least=20)
+
+
+@query()
+def near_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Technical sequences in the records with at most two other letters, both strands."""
+    return scan.find_near_patterns(_dna(spark, d), "record_id", "sequence", table(spark, d, "technical_sequences"), 2)
+
+
+@query()
+def partial_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of technical sequences at the ends of records."""
+    return scan.find_partial_ends(_dna(spark, d), "record_id", "sequence", table(spark, d, "technical_sequences"))
+
+
 @query(_V + " SELECT CAST(aln_id AS VARCHAR) AS id, kind FROM v WHERE chrom = 'ctg02' AND pos + CASE kind WHEN 'mnv' THEN 1 WHEN 'deletion' THEN 1 ELSE 0 END >= 1000000 AND pos <= 20000000")
 def vcf_region(spark: SparkSession, d: str) -> DataFrame:
     """Variants whose span meets a region."""

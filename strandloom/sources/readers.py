@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.operators.genomics import parse_bed, parse_features, parse_vcf
+from strandloom.operators.grouping import ordered_totals
 
 DELIMITERS = {"tab": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}
 
@@ -123,6 +124,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)).alias("title"), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "").alias("sequence"))
 
 
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of FASTA files: file, name, length, offset (of the first letter, in bytes), line_bases, line_width, uniform.
+
+    ``uniform`` is false if a line before a record's last letters has another size, so that
+    places cannot be computed from the index. Records without letters have length 0.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    head = F.startswith(F.col("value"), F.lit(">"))
+    lines = text.withColumns({"width": (F.octet_length("value") + 1).cast("long"), "heads": F.when(head, 1).otherwise(0).cast("long")})
+    placed = ordered_totals(lines, ["file", "block", "i"], ["width", "heads"])
+    starts = placed.groupBy("file").agg(F.min(F.col("width_upto") - F.col("width")).alias("base"))
+    placed = placed.join(starts, "file").withColumns({"at": F.col("width_upto") - F.col("width") - F.col("base"), "bases": F.length(F.regexp_replace("value", r"\s+$", "")).cast("long")})
+    letters = placed.where((F.col("heads") == 0) & (F.col("heads_upto") > 0) & (F.col("bases") > 0)).groupBy("file", "heads_upto").agg(
+        F.sum("bases").alias("length"), F.min("at").alias("offset"), F.min_by("bases", "at").alias("line_bases"), F.min_by("width", "at").alias("line_width"),
+        F.count("*").alias("lines"), F.max_by("bases", "at").alias("rest"), F.max("bases").alias("most"),
+    )
+    full = (F.col("lines") - 1) * F.col("line_bases") == F.col("length") - F.col("rest")
+    even = full & (F.col("most") == F.col("line_bases")) & (F.col("rest") <= F.col("line_bases"))
+    names = placed.where("heads = 1").select("file", "heads_upto", F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("name"), (F.col("at") + F.col("width")).alias("_behind"))
+    zero = F.lit(0).cast("long")
+    return names.join(letters, ["file", "heads_upto"], "left").select("file", "name", F.coalesce("length", zero).alias("length"), F.coalesce("offset", "_behind").alias("offset"), F.coalesce("line_bases", zero).alias("line_bases"), F.coalesce("line_width", zero).alias("line_width"), F.coalesce(even, F.lit(True)).alias("uniform"))
+
+
 def numbered_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
     """(file, line_no, value) over the non-blank lines of each file, numbered from 0 in the order of the file; ``keep_blank`` counts blank ones too.
 
