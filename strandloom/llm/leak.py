@@ -63,7 +63,7 @@ class LeakSearch:
     by Spark's skew join where its items are too many to broadcast.
 
     Whole texts and all documents are searched. Null texts, and items of fewer
-    than ``phrase`` words, match nothing; a repeated document or item changes nothing.
+    than ``phrase`` words, match nothing; a repeated document or item row changes nothing (one id has one text).
     The items' side is as large as the test
     set; Spark broadcasts it only under its own size threshold.
     """
@@ -72,6 +72,8 @@ class LeakSearch:
         self.phrase = phrase
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
         self.terms = item_terms(items, item_id, item_text)
+        every = F.transform(F.array_sort(F.array_agg(F.struct("item_pos", "term"))), lambda t: t["term"])
+        self.held = written(self.terms.groupBy("item_id").agg(every.alias("w")))
         self.index = positional_index(docs, doc_id, doc_text, self.terms)
         self.frequencies = written(self.index.groupBy("term").agg(F.count("*").alias("n")))
         self.phrases = written(phrases(self.terms, self.frequencies, phrase))
@@ -80,13 +82,20 @@ class LeakSearch:
         """The postings of the looked-up terms, read from the index once."""
         return written(self.index.join(terms.select("term").distinct(), "term", "left_semi"))
 
-    def _matched(self, candidates: DataFrame) -> DataFrame:
-        """The item words found at each candidate shift: doc_id, item_id, shift, item_pos."""
-        places = written(candidates.select("doc_id", "item_id", "shift").distinct())
-        few = self.docs.join(places.select("doc_id").distinct(), "doc_id", "left_semi")
-        tokens = few.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-        wanted = places.join(self.terms, "item_id").withColumn("pos", F.col("shift") + F.col("item_pos"))
-        return wanted.join(tokens, ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "item_pos")
+    def _matched(self, places: DataFrame) -> DataFrame:
+        """The item words found at each candidate shift: doc_id, item_id, shift, item_pos.
+
+        ``places`` has doc_id, item_id, shift, each once, and the item places low to high that are
+        compared; each place takes that stretch of its document and of its item.
+        """
+        places = written(places)
+        few = self.docs.join(places.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+        low, high = F.greatest(F.col("low"), F.lit(0), -F.col("shift")), F.least(F.col("high"), F.size("w") - 1 - F.col("shift"))
+        said = places.join(few, "doc_id").select("doc_id", "item_id", "shift", low.alias("low"), high.alias("high"), "w").where("low <= high")
+        said = said.select("doc_id", "item_id", "shift", "low", F.slice("w", F.col("shift") + F.col("low") + 1, F.col("high") - F.col("low") + 1).alias("said"))
+        asked = said.join(self.held, "item_id").withColumn("asked", F.slice("w", F.col("low") + 1, F.size("said"))).drop("w")
+        same = F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda i: F.get("said", i) == F.get("asked", i))
+        return asked.select("doc_id", "item_id", "shift", "low", F.explode(same).alias("i")).select("doc_id", "item_id", "shift", (F.col("i") + F.col("low")).alias("item_pos"))
 
     def exact(self) -> DataFrame:
         """Longest runs of consecutive words shared by a document and an item: doc_id, item_id, doc_pos, item_pos, n_words (>= phrase)."""
@@ -96,7 +105,8 @@ class LeakSearch:
         found = postings.join(rarest, "term").select("doc_id", "item_id", (F.col("pos") - F.col("p1")).alias("shift"), "p1")
         both = found.join(pairs, ["item_id", "p1"]).withColumn("pos", F.col("shift") + F.col("p2")).join(postings.select("doc_id", "pos", "term"), ["doc_id", "pos", "term"])
         order = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos")
-        runs = self._matched(both).withColumn("run", F.col("item_pos") - F.dense_rank().over(order))
+        whole = both.select("doc_id", "item_id", "shift").distinct().withColumns({"low": F.lit(0), "high": F.lit(1 << 30)})
+        runs = self._matched(whole).withColumn("run", F.col("item_pos") - F.dense_rank().over(order))
         return (
             runs.groupBy("doc_id", "item_id", "shift", "run")
             .agg(F.min("item_pos").alias("item_pos"), (F.max("item_pos") - F.min("item_pos") + 1).cast("long").alias("n_words"))
@@ -116,9 +126,7 @@ class LeakSearch:
         follow, by a hash of the words; what agrees is compared on all words of the item.
         """
         piece = min(3, self.phrase // (self.phrase - least + 1))
-        every = F.array_agg(F.struct("item_pos", "term"))
-        held = self.terms.groupBy("item_id").agg(F.transform(F.array_sort(every), lambda t: t["term"]).alias("w")).where(F.size("w") >= self.phrase)
-        wanted = held.select("item_id", "w", F.posexplode("w").alias("at", "term")).where(F.col("at") + piece <= F.size("w"))
+        wanted = self.held.where(F.size("w") >= self.phrase).select("item_id", "w", F.posexplode("w").alias("at", "term")).where(F.col("at") + piece <= F.size("w"))
         keys = wanted.select("item_id", "at", F.xxhash64(*(F.get("w", F.col("at") + k) for k in range(piece))).alias("key"))
         # Spark would size the documents by their file, not by the moves of all places, and might send them instead
         keys = written(keys)
@@ -128,10 +136,11 @@ class LeakSearch:
         for moves in steps_within(piece, slop):
             key = F.xxhash64(F.col("term"), *(F.get("w", F.col("pos") + k + 1 + m) for k, m in enumerate(moves)))
             tried.append(F.struct(key.alias("key"), F.lit(max(0, *moves) if moves else 0).alias("most"), F.lit(min(0, *moves) if moves else 0).alias("least")))
-        met = places.select("doc_id", "pos", F.inline(F.array(*tried))).join(keys, "key").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "most", "least").distinct()
-        # shifts of the windows of slop that hold the piece
+        met = places.select("doc_id", "pos", F.inline(F.array(*tried))).join(keys, "key").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"), "most", "least").distinct()
+        # shifts of the windows of slop that hold the piece, and the words of the runs around it
         around = F.explode(F.sequence(F.col("shift") + F.col("most") - slop, F.col("shift") + F.col("least") + slop))
-        hits = self._matched(met.select("doc_id", "item_id", around.alias("shift"))).distinct()
+        near = met.select("doc_id", "item_id", "at", around.alias("shift")).groupBy("doc_id", "item_id", "shift")
+        hits = self._matched(near.agg((F.min("at") + 1 - self.phrase).alias("low"), (F.max("at") + self.phrase - 1).alias("high")))
         each = hits.select("doc_id", "item_id", "item_pos", F.explode(F.sequence(F.col("shift"), F.col("shift") + slop)).alias("upto")).repartition("doc_id", "item_id", "upto").distinct()
         # the words of the run that ends at each word found; runs that would begin before the item have no more than its first one
         run = Window.partitionBy("doc_id", "item_id", "upto").orderBy("item_pos").rangeBetween(1 - self.phrase, 0)

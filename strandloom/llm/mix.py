@@ -6,6 +6,7 @@ import base64
 import math
 import sys
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -23,25 +24,31 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Rows that one task should order at a time.
 TILE_ROWS = 50_000
-_ENCODINGS: dict = {}
+#: Bytes that a vocabulary file may have to be sent to the executors.
+MOST_VOCABULARY = 64 << 20
 
 
-def _encoding(path: str):
-    if path not in _ENCODINGS:
-        import tiktoken
+def _encoding(vocabulary: bytes):
+    import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODINGS[path] = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Replaces the text column by ``tokens``, its size in tokens; a null text has 0."""
+    """Replaces the text column by ``tokens``, its size in tokens; a null text has 0.
+
+    The vocabulary file is read once, where the query is built, and sent to the
+    executors, which need no file of their own; above ``MOST_VOCABULARY`` bytes it is an error.
+    """
     keep = [c for c in df.columns if c != text]
+    vocabulary = Path(tokenizer).read_bytes()
+    if len(vocabulary) > MOST_VOCABULARY:
+        raise ValueError(f"{tokenizer} has more than {MOST_VOCABULARY} bytes")
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(shared.value)
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64())], names=[*keep, "tokens"])

@@ -13,7 +13,11 @@ RELATIVE_ERROR = 0.01
 
 
 def bucket(value: Column, error: float) -> Column:
-    """The signed logarithmic bucket of a value: sign(v) * (k + OFFSET) with gamma**(k-1) < |v| <= gamma**k, 0 for zero."""
+    """The signed logarithmic bucket of a value: sign(v) * (k + OFFSET) with gamma**(k-1) < |v| <= gamma**k, 0 for zero.
+
+    k is taken from a logarithm rounded to 9 places, so that powers of gamma fall into
+    their own bucket on every machine; this lets the error pass ``error`` by some 1e-11 of the value.
+    """
     gamma = (1 + error) / (1 - error)
     k = F.ceil(F.round(F.ln(F.abs(value)) / F.lit(math.log(gamma)), 9)).cast("long") + F.lit(offset(error))
     return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, k).otherwise(-k)

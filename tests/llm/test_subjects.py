@@ -1,8 +1,5 @@
 import random
 
-import duckdb
-
-from strandloom.llm.queries import registry
 from strandloom.llm.subjects import SubjectModel, prose
 from pyspark.sql import functions as F
 
@@ -59,7 +56,13 @@ def test_prose(spark):
 
 
 def test_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
-    got = {(r["doc_id"], r["subject"]) for r in registry.queries["p8_found"](spark, d).collect()}
-    labels = duckdb.sql(f"SELECT DISTINCT doc_id, lower(trim(subject)) FROM '{d}/subject_labels.parquet'").fetchall()
-    assert sum(x in got for x in labels) / len(labels) >= 0.75
+    """A model that does not see the labels of a fifth of the threads finds 0.9 of them (some labels are wrong)."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "subject_labels"))
+    names = sorted(r[0] for r in spark.read.parquet(f"{d}/subject_areas.parquet").select("subject").collect())
+    votes = labels.join(docs.select("doc_id", F.coalesce("thread_id", "doc_id").alias("thread"), "text"), "doc_id").where(F.col("text").rlike(r"(?U)\S"))
+    held = F.pmod(F.xxhash64("thread"), F.lit(5)) == 0
+    fitted = SubjectModel(docs, votes.where(~held).select("doc_id", "subject"), names)
+    got = {(r["doc_id"], r["subject"]) for r in fitted.of_documents().collect()}
+    wanted = {(r["doc_id"], r["subject"].strip().lower()) for r in votes.where(held).collect() if r["subject"] and r["subject"].strip().lower() in names}
+    assert len(wanted) > 50 and sum(x in got for x in wanted) / len(wanted) >= 0.9
