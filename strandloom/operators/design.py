@@ -39,6 +39,7 @@ def rated(found: DataFrame, low: float = 35, high: float = 75) -> DataFrame:
     """
     gc = count_of(F.col("guide"), "GC") * 100 / F.length("guide")
     rows = found.withColumns({"gc_percent": gc, "longest_run": longest_run(F.col("guide")), "has_tttt": F.contains("guide", F.lit("TTTT"))}).where(F.col("gc_percent").between(low, high))
+    # fixed values: the weights of the review score
     cost = (
         F.when(F.col("gc_percent").between(40, 60), 0.0).otherwise(F.least(F.lit(35.0), F.abs(F.col("gc_percent") - 50) * 1.2))
         + F.greatest(F.lit(0), F.col("longest_run") - 3) * 8

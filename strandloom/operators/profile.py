@@ -24,7 +24,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Types in order of preference: empty, boolean (true/false/yes/no), integer,
     number, date (YYYY-MM-DD), text. Missing spellings do not take part.
     """
-    cells = _unpivoted(df, columns).select("column", F.when(~is_missing(F.col("cell")), F.trim("cell")).alias("cell")).groupBy("column", "cell").agg(F.count("*").alias("n"))
+    cells = written(_unpivoted(df, columns).select("column", F.when(~is_missing(F.col("cell")), F.trim("cell")).alias("cell")).groupBy("column", "cell").agg(F.count("*").alias("n")))
     here, x = F.col("cell").isNotNull(), to_num(F.col("cell"))
     all_of = lambda test: F.coalesce(F.bool_and(F.when(here, test)), F.lit(False))
     kind = (
@@ -36,7 +36,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .otherwise("text")
     )
     size, weight = F.length("cell"), F.col("n")
-    return cells.groupBy("column").agg(
+    figures = cells.groupBy("column").agg(
         kind.alias("type"),
         F.sum("n").alias("n_rows"),
         F.sum(F.when(here, 0).otherwise(weight)).alias("n_missing"),
@@ -45,10 +45,12 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.min(x).alias("min_number"),
         F.max(x).alias("max_number"),
         F.round(F.sum(x * weight) / F.sum(F.when(x.isNotNull(), weight)), 6).alias("mean_number"),
-        F.round(F.percentile(x, 0.5, weight), 6).alias("median_number"),
         F.min(size).cast("long").alias("min_length"),
         F.max(size).cast("long").alias("max_length"),
     )
+    counts = cells.select("column", x.alias("x"), "n").where("x IS NOT NULL").groupBy("column", "x").agg(F.sum("n").alias("c"))
+    medians = group_quantiles(counts, ["column"], {"median_number": 0.5})
+    return figures.join(medians, "column", "left").withColumn("median_number", F.round("median_number", 6))  # one row per column
 
 
 def top_values(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:
@@ -101,6 +103,18 @@ def quantile_at(p: float, x: str = "x", upto: str = "upto", c: str = "c", n: str
     return below + (above - below) * F.max(place - low)
 
 
+def group_quantiles(counts: DataFrame, groups: Sequence[str], wanted: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per group of a table of counts (groups, x, c): groups, and one column each.
+
+    Places come from running counts over range partitions, so no task holds the values
+    of a group. Null groups drop out.
+    """
+    placed = ordered_totals(counts, [*groups, "x"], ["c"])
+    ends = placed.groupBy(*groups).agg(F.min(F.col("c_upto") - F.col("c")).alias("base"), F.sum("c").alias("n"))
+    met = spread_join(placed, ends, groups, F.pmod(F.xxhash64("x"), F.lit(64))).withColumn("upto", F.col("c_upto") - F.col("base"))
+    return met.groupBy(*groups).agg(*(quantile_at(p).alias(name) for name, p in wanted.items()))
+
+
 def ranked_values(cells: DataFrame, value: str, count: str, rank: str) -> DataFrame:
     """Distinct values of a table of counts: value, ``rank`` (the average one, ties share it), ``<rank>_ties`` (rows of the value), and ``<rank>_below`` (rows before it)."""
     counted = ordered_totals(cells.groupBy(value).agg(F.sum(count).alias("_n")), [value], ["_n"])
@@ -227,15 +241,15 @@ def outliers(df: DataFrame, group: str, value: str, z: float = 3.0, modified: fl
 
     Adds z (sample deviation), modified z (0.6745 (x - median) / MAD), the fences of
     Tukey, and the three flags; a score that needs a zero deviation is null. The
-    figures are one row per group; percentiles are exact.
+    figures are one row per group; percentiles are exact. Rows of a null group drop out.
     """
     x = number(df, value)
     rows = df.where(x.isNotNull()).withColumn("_x", x)
-    q = lambda p: F.percentile("_x", p)
-    figures = rows.groupBy(group).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
-    centred = rows.join(figures, group)
-    mads = centred.groupBy(group).agg(F.percentile(F.abs(F.col("_x") - F.col("median")), 0.5).alias("mad"))
-    out = centred.join(mads, group)
+    counts = written(rows.groupBy(group, F.col("_x").alias("x")).agg(F.count("*").alias("c")))
+    quartiles = group_quantiles(counts, [group], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    figures = written(rows.groupBy(group).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd")).join(quartiles, group))
+    away = counts.join(figures.select(group, "median"), group).groupBy(group, F.abs(F.col("x") - F.col("median")).alias("x")).agg(F.sum("c").alias("c"))
+    out = rows.join(figures, group).join(group_quantiles(away, [group], {"mad": 0.5}), group)
     zs = (F.col("_x") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd"))
     ms = F.lit(0.6745) * (F.col("_x") - F.col("median")) / F.when(F.col("mad") > 0, F.col("mad"))
     iqr = F.col("q3") - F.col("q1")
