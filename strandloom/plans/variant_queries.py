@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.seq import count_of
 from strandloom.operators import genomics, plotdata, reads, variants
-from strandloom.plans.genome_queries import _DNA, _dna
+from strandloom.plans.genome_queries import _DNA
 from strandloom.plans.registry import Registry
 from strandloom.session import table
+from strandloom.streaming.folds import run_to_end, stream_parquet
 
 registry = Registry()
 query = registry.query
@@ -25,15 +27,19 @@ def _pick(values, i):
     return F.element_at(F.array(*(F.lit(v) for v in values)), (i + 1).cast("int"))
 
 
-def _variant_lines(spark: SparkSession, d: str) -> DataFrame:
+def _as_variants(alignments: DataFrame) -> DataFrame:
     """Each mapped alignment as a VCF line of three samples."""
-    a, n = table(spark, d, "sam_alignments").where("start >= 1"), F.col("aln_id")
+    a, n = alignments.where("start >= 1"), F.col("aln_id")
     call = lambda k: F.concat(_pick(CALLS, (n + k) % 7), F.lit(":"), F.col("read_length"))
     info = F.concat(F.lit("DP="), F.col("read_length"), F.when(n % 2 == 0, ";DB").otherwise(""), F.lit(";ANN=G|"), _pick(TERMS, n % 3), F.lit("|"), _pick(IMPACTS, n % 3), F.lit("|gene"), n % 5, F.lit("|ID"), n % 5, F.lit("|transcript|T"), n % 4, F.lit("|protein_coding|1/2|c.1A>G|p.Arg"), n % 9, F.lit("Gly"))
     fields = ["reference", "start", n, _pick([r for r, _ in REF_ALT], n % 6), _pick([x for _, x in REF_ALT], n % 6), F.coalesce(F.col("mapq").cast("string"), F.lit(".")), F.when(F.col("flag").bitwiseAND(F.lit(512)) != 0, "q10").otherwise("PASS"), info, F.lit("GT:DP"), call(0), call(2), call(5)]
     return a.select(F.concat_ws("\t", *(F.col(f).cast("string") if isinstance(f, str) else f.cast("string") for f in fields)).alias("value"))
 
 
+def _variant_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _as_variants(table(spark, d, "sam_alignments"))
+
+
 def _variants(spark: SparkSession, d: str) -> DataFrame:
     return genomics.parse_vcf(_variant_lines(spark, d))
 
@@ -106,12 +112,34 @@ def vcf_sampled(spark: SparkSession, d: str) -> DataFrame:
 _READS = f"""WITH s AS ({_DNA}), r AS (SELECT record_id, regexp_replace(s, '[^ACGTN]', '', 'g') AS s FROM s), q AS (SELECT record_id, s, translate(s, 'ACGTN', 'I?5+#') AS q FROM r WHERE s <> '')"""
 
 
-def _reads(spark: SparkSession, d: str) -> DataFrame:
+def _as_reads(sequences: DataFrame) -> DataFrame:
     """DNA records as reads, with a quality for each letter."""
-    rows = _dna(spark, d).select("record_id", F.regexp_replace("sequence", "[^ACGTN]", "").alias("sequence")).where("sequence <> ''")
+    letters = F.translate(F.upper(F.regexp_replace("sequence", r"\s+", "")), "U", "T")
+    rows = sequences.where("alphabet = 'dna-rna' AND sequence IS NOT NULL").select("record_id", F.regexp_replace(letters, "[^ACGTN]", "").alias("sequence")).where("sequence <> ''")
     return rows.select("record_id", "sequence", F.translate("sequence", "ACGTN", "I?5+#").alias("quality"))
 
 
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return _as_reads(table(spark, d, "sequence_records"))
+
+
+@query(_V + " SELECT kind, count(*) AS n, CAST(count(*) FILTER (dp >= 100) AS BIGINT) AS n_deep FROM v WHERE flag & 512 = 0 GROUP BY kind")
+def stream_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Variant lines parsed and filtered as a stream, counted by kind."""
+    stream = stream_parquet(spark, f"{d}/sam_alignment[s].parquet", table(spark, d, "sam_alignments").schema)
+    kept = genomics.filter_variants(genomics.parse_vcf(_as_variants(stream)))
+    return run_to_end(kept.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(variants.info_is(F.col("info"), "DP", ">=", "100")).alias("n_deep")), ["kind"])
+
+
+@query(_READS + """ SELECT length(s) AS length, count(*) AS n, CAST(sum(length(regexp_replace(s, '[^GC]', '', 'g'))) AS BIGINT) AS gc, CAST(sum(length(regexp_replace(s, '[^AC]', '', 'g'))) AS BIGINT) AS q30 FROM q GROUP BY 1""")
+def stream_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads folded by length as a stream: their number, G and C, and letters of quality 30 and more."""
+    stream = stream_parquet(spark, f"{d}/sequence_record[s].parquet", table(spark, d, "sequence_records").schema)
+    good = F.length(F.regexp_replace("quality", "[!->]", ""))
+    folded = _as_reads(stream).groupBy(F.length("sequence").alias("length")).agg(F.count("*").alias("n"), F.sum(count_of(F.col("sequence"), "GC")).alias("gc"), F.sum(good).alias("q30"))
+    return run_to_end(folded, ["length"])
+
+
 @query(_READS + """ SELECT count(*) AS n_reads, CAST(sum(length(s)) AS BIGINT) AS n_bases, min(length(s)) AS min_length, max(length(s)) AS max_length, round(sum(length(regexp_replace(s, '[^GC]', '', 'g'))) * 100 / sum(length(s)), 2) AS gc_percent,
  round(sum(length(regexp_replace(s, '[^N]', '', 'g'))) * 100 / sum(length(s)), 2) AS n_percent, round(sum(length(regexp_replace(s, '[^ACG]', '', 'g'))) * 100 / sum(length(s)), 2) AS q20_percent, round(sum(length(regexp_replace(s, '[^AC]', '', 'g'))) * 100 / sum(length(s)), 2) AS q30_percent FROM q""")
 def read_totals(spark: SparkSession, d: str) -> DataFrame:

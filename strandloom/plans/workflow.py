@@ -35,6 +35,8 @@ STEPS: dict[str, tuple[str, str, Callable[..., DataFrame]]] = {
     "min_length": (RECORDS, RECORDS, lambda df, n: df.where(F.length("sequence") >= n)),
     "reverse_complement": (RECORDS, RECORDS, lambda df: df.withColumn("sequence", seq.reverse_complement(F.col("sequence")))),
     "translate": (RECORDS, RECORDS, lambda df: df.withColumn("sequence", seq.translate(F.col("sequence")))),
+    "split": (RECORDS, RECORDS, lambda df: df.withColumn("item", F.col("record_id"))),
+    "to_table": (RECORDS, TABLE, lambda df: df),
     "find_motifs": (RECORDS, TABLE, lambda df, motifs: scan.find_motifs(df, "record_id", "sequence", motifs)),
     "find_orfs": (RECORDS, TABLE, lambda df, min_codons=30: scan.find_orfs(df, "record_id", "sequence", min_codons)),
 }
@@ -43,6 +45,11 @@ STEPS: dict[str, tuple[str, str, Callable[..., DataFrame]]] = {
 def check(steps: Sequence[dict[str, Any]], kind: str = TABLE) -> str:
     """The kind of the last step's rows; an unknown step or a kind that does not fit is an error, before anything runs."""
     for i, step in enumerate(steps, 1):
+        if step.get("op") == "map":
+            if kind != RECORDS:
+                raise ValueError(f"step {i}: map takes {RECORDS}, not {kind}")
+            kind = check(step.get("steps", ()), kind)
+            continue
         if step.get("op") not in STEPS:
             raise ValueError(f"step {i}: unknown operation {step.get('op')!r}")
         takes, gives, _ = STEPS[step["op"]]
@@ -53,9 +60,16 @@ def check(steps: Sequence[dict[str, Any]], kind: str = TABLE) -> str:
 
 
 def run(df: DataFrame, steps: Sequence[dict[str, Any]], kind: str = TABLE) -> DataFrame:
-    """Applies the steps in turn; each is ``{"op": name, **options}``."""
+    """Applies the steps in turn; each is ``{"op": name, **options}``.
+
+    ``{"op": "map", "steps": [...]}`` applies steps to every record by itself. A record is
+    a row, so these run over all of them at once; results keep the record's id.
+    """
     check(steps, kind)
     for step in steps:
+        if step["op"] == "map":
+            df = run(df, step["steps"], RECORDS)
+            continue
         df = STEPS[step["op"]][2](df, **{k: v for k, v in step.items() if k != "op"})
     return df
 

@@ -218,6 +218,15 @@ def test_workflow_is_checked_before_it_runs(spark):
     with pytest.raises(ValueError, match="unknown"):
         workflow.check([{"op": "nope"}])
     assert workflow.check([{"op": "to_records"}, {"op": "find_orfs"}]) == "table"
+    with pytest.raises(ValueError, match="map takes records"):
+        workflow.check([{"op": "map", "steps": []}])
+
+
+def test_workflow_maps_items(spark):
+    df = spark.createDataFrame([(1, "ACGAATTC"), (2, "AC")], "record_id long, sequence string")
+    steps = [{"op": "to_records"}, {"op": "split"}, {"op": "map", "steps": [{"op": "min_length", "n": 3}, {"op": "find_motifs", "motifs": {"e": "GAATTC"}}]}]
+    assert workflow.check(steps) == "table"
+    assert [(r["record_id"], r["start"]) for r in workflow.run(df, steps).collect()] == [(1, 3)]
 
 
 @pytest.mark.parametrize("make", [lambda d: tables.summarize_groups(d, ["g"], ["x"]), lambda d: profile.column_profile(d, ["g", "x"]), lambda d: profile.outliers(d, "g", "x"), lambda d: plotdata.histogram(d, "x"), lambda d: plotdata.box(d, ["g"], "x"), lambda d: plotdata.density(d, ["g"], "x"),
