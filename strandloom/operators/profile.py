@@ -14,6 +14,10 @@ from strandloom.operators.grouping import ordered_totals, spread_join
 from strandloom.session import written
 
 
+#: Rows of a table of counts whose values one aggregation may hold, some 16 bytes each.
+MOST_HELD = 1 << 20
+
+
 def _unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], list(columns), "column", "cell")
 
@@ -48,7 +52,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.min(size).cast("long").alias("min_length"),
         F.max(size).cast("long").alias("max_length"),
     )
-    counts = cells.select("column", x.alias("x"), "n").where("x IS NOT NULL").groupBy("column", "x").agg(F.sum("n").alias("c"))
+    counts = cells.select("column", x.alias("x"), F.col("n").alias("c")).where("x IS NOT NULL")
     medians = group_quantiles(counts, ["column"], {"median_number": 0.5})
     return figures.join(medians, "column", "left").withColumn("median_number", F.round("median_number", 6))  # one row per column
 
@@ -104,12 +108,16 @@ def quantile_at(p: float, x: str = "x", upto: str = "upto", c: str = "c", n: str
 
 
 def group_quantiles(counts: DataFrame, groups: Sequence[str], wanted: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group of a table of counts (groups, x, c): groups, and one column each.
+    """Linearly interpolated quantiles per group of a written table of counts (groups, x, c): groups, and one column each.
 
-    Places come from running counts over range partitions, so no task holds the values
-    of a group. Null groups drop out.
+    Up to ``MOST_HELD`` rows of counts, an aggregation holds the values of a group. Beyond
+    that, places come from running counts over range partitions, so no task holds them,
+    with the same result. Null groups drop out.
     """
-    placed = ordered_totals(counts, [*groups, "x"], ["c"])
+    known = counts.dropna(subset=list(groups)) if groups else counts
+    if known.count() <= MOST_HELD:
+        return known.groupBy(*groups).agg(*(F.percentile("x", p, F.col("c")).alias(name) for name, p in wanted.items()))
+    placed = ordered_totals(known, [*groups, "x"], ["c"])
     ends = placed.groupBy(*groups).agg(F.min(F.col("c_upto") - F.col("c")).alias("base"), F.sum("c").alias("n"))
     met = spread_join(placed, ends, groups, F.pmod(F.xxhash64("x"), F.lit(64))).withColumn("upto", F.col("c_upto") - F.col("base"))
     return met.groupBy(*groups).agg(*(quantile_at(p).alias(name) for name, p in wanted.items()))
@@ -168,9 +176,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     pairs = _pair_counts(df, a, b)
     ranked = pairs.join(ranked_values(pairs, "a", "n", "ra"), "a").join(ranked_values(pairs, "b", "n", "rb"), "b")
     n = F.col("n").cast("double")
-    sums = ranked.agg(F.sum("n").alias("n"), *(F.sum(x * n).alias(name) for name, x in (("sa", F.col("ra")), ("sb", F.col("rb")))))
     # ranks have the mean (n + 1) / 2, so products about it need no second pass
-    total = sums.select("n").first()["n"]
+    total = pairs.agg(F.sum("n")).first()[0]
     middle = ((total or 0) + 1) / 2
     da, db = F.col("ra") - middle, F.col("rb") - middle
     moments = ranked.agg(F.sum("n").alias("n"), F.sum(da * db * n).alias("ab"), F.sum(da * da * n).alias("aa"), F.sum(db * db * n).alias("bb"))
@@ -248,7 +255,7 @@ def outliers(df: DataFrame, group: str, value: str, z: float = 3.0, modified: fl
     counts = written(rows.groupBy(group, F.col("_x").alias("x")).agg(F.count("*").alias("c")))
     quartiles = group_quantiles(counts, [group], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     figures = written(rows.groupBy(group).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd")).join(quartiles, group))
-    away = counts.join(figures.select(group, "median"), group).groupBy(group, F.abs(F.col("x") - F.col("median")).alias("x")).agg(F.sum("c").alias("c"))
+    away = counts.join(figures.select(group, "median"), group).select(group, F.abs(F.col("x") - F.col("median")).alias("x"), "c")
     out = rows.join(figures, group).join(group_quantiles(away, [group], {"mad": 0.5}), group)
     zs = (F.col("_x") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd"))
     ms = F.lit(0.6745) * (F.col("_x") - F.col("median")) / F.when(F.col("mad") > 0, F.col("mad"))

@@ -162,7 +162,8 @@ def find_patterns(df: DataFrame, record: str, sequence: str, patterns: DataFrame
     """
     rows = _letters(df, record, sequence)
     seeds = _both_strands(patterns).withColumns({"seed": F.substring("pattern", 1, seed), "at": F.lit(0)})
-    hits = _seeded(rows, seeds, seed).join(rows, "record_id").where(F.substring(F.col("s"), F.col("start"), F.length("pattern")) == F.col("pattern"))
+    # written, so that Spark knows whether the hits are few enough to be sent to the records
+    hits = written(_seeded(rows, seeds, seed)).join(rows, "record_id").where(F.substring(F.col("s"), F.col("start"), F.length("pattern")) == F.col("pattern"))
     return hits.select("record_id", "id", "strand", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("pattern") - 1).cast("long").alias("end"))
 
 
@@ -185,7 +186,7 @@ def find_near_patterns(df: DataFrame, record: str, sequence: str, patterns: Data
     cut = _both_strands(patterns).where(size > most).withColumn("i", piece).withColumn("at", F.floor(F.col("i") * size / (most + 1)).cast("int"))
     width = F.floor((F.col("i") + 1) * size / (most + 1)).cast("int") - F.col("at")
     seeds = cut.select("id", "pattern", "strand", "at", F.substring(F.col("pattern"), F.col("at") + 1, F.least(width, F.lit(seed))).alias("seed"))
-    places = _seeded(rows, seeds, seed).where("start >= 1").distinct()
+    places = written(_seeded(rows, seeds, seed).where("start >= 1").distinct())
     seen = places.join(rows, "record_id").where(F.col("start") + size - 1 <= F.length("s"))
     counted = seen.withColumn("n_mismatches", mismatches(F.substring(F.col("s"), F.col("start"), size), F.col("pattern"))).where(F.col("n_mismatches") <= most)
     return counted.select("record_id", "id", "strand", F.col("start").cast("long").alias("start"), (F.col("start") + size - 1).cast("long").alias("end"), "n_mismatches")

@@ -50,6 +50,26 @@ def test_ranks_in_groups(spark):
     assert got == Counter([("x", 1.0, 1.5), ("x", 1.0, 1.5), ("x", 3.0, 3.0), ("y", 2.0, 1.0), ("y", 9.0, 2.0)])
 
 
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_group_quantiles_either_way(spark, monkeypatch, held):
+    monkeypatch.setattr(profile, "MOST_HELD", held)
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), float(rng.randrange(30)), rng.randrange(1, 4)) for _ in range(120)] + [("one", 2.5, 1), (None, 1.0, 1)]
+    cells = Counter()
+    for g, x, c in rows:
+        cells[g, x] += c
+    counts = spark.createDataFrame([(*k, c) for k, c in cells.items()], "g string, x double, c long")
+    got = {r["g"]: (r["q1"], r["q3"]) for r in profile.group_quantiles(counts, ["g"], {"q1": 0.25, "q3": 0.75}).collect()}
+
+    def quantile(g, p):
+        values = sorted(x for (h, x), c in cells.items() if h == g for _ in range(c))
+        place = (len(values) - 1) * p
+        low = int(place)
+        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (place - low)
+
+    assert got == {g: (pytest.approx(quantile(g, 0.25)), pytest.approx(quantile(g, 0.75))) for g in ("a", "b", "one")}
+
+
 def test_confidence_interval(spark):
     df = spark.createDataFrame([(float(v), "1") for v in (1, 2, 3, 4, 10)], "x double, column string")
     r = profile.describe(df, ["x"]).first()
