@@ -46,6 +46,12 @@ def reverse_complement(sequence: Column) -> Column:
     return F.reverse(F.translate(sequence, COMPLEMENT_FROM, COMPLEMENT_TO))
 
 
+def clean_letters(sequence: Column, letters: str) -> Column:
+    """Struct of the upper-cased sequence without white space and other letters (``sequence``), and how many others it lost (``removed``)."""
+    s = F.upper(F.regexp_replace(sequence, r"\s+", ""))
+    return F.struct(F.regexp_replace(s, f"[^{letters}]", "").alias("sequence"), F.length(F.translate(s, letters, "")).alias("removed"))
+
+
 def gc_percent(sequence: Column) -> Column:
     """Percent of G and C among A, C, G, T and U; null without any."""
     known = count_of(sequence, "ACGTUacgtu")

@@ -72,13 +72,15 @@ def parse_vcf(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def filter_variants(vcf: DataFrame, chrom: str | None = None, start: int | None = None, end: int | None = None, passed: bool = True, min_qual: float | None = None, kinds: Sequence[str] = (), info: Column | None = None) -> DataFrame:
-    """Variants whose span meets the region and that pass the filters; ``passed`` keeps FILTER PASS or ``.``."""
+def filter_variants(vcf: DataFrame, chrom: str | None = None, start: int | None = None, end: int | None = None, passed: bool = True, min_qual: float | None = None, kinds: Sequence[str] = (), info: Column | None = None, ids: Sequence[str] = (), by_position: bool = False) -> DataFrame:
+    """Variants whose span (with ``by_position``, whose first position) meets the region and that pass the filters; ``passed`` keeps FILTER PASS or ``.``, ``ids`` those with one of the ids."""
     tests = [F.lit(True)]
     if chrom is not None:
         tests.append(F.col("chrom") == chrom)
     if start is not None:
-        tests.append(F.col("end") >= start)
+        tests.append(F.col("pos" if by_position else "end") >= start)
+    if ids:
+        tests.append(F.arrays_overlap(F.split("id", ";"), F.array(*(F.lit(i) for i in ids))))
     if end is not None:
         tests.append(F.col("pos") <= end)
     if passed:

@@ -76,6 +76,11 @@ def text_matches(df: DataFrame, ids: Sequence[str], text: str, pattern: str) ->
     return lines.select(*ids, (F.col("line") + 1).alias("line"), F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("match_no", "matched")).withColumn("match_no", F.col("match_no") + 1)
 
 
+def only_matches(text: Column, pattern: str, separator: str = "\n") -> Column:
+    """All matches of a regular expression in a text, joined; null stays null."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), separator)
+
+
 def without_lines(text: Column, pattern: str) -> Column:
     """The text without the lines in which the pattern occurs."""
     return F.array_join(F.filter(F.split(text, r"\r\n|\r|\n"), lambda line: ~line.rlike(pattern)), "\n")

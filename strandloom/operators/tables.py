@@ -35,7 +35,7 @@ def rule_lines(text: str, fields: int) -> list[list[str]]:
 
 
 def row_rule(df: DataFrame, column: str, op: str, value: str = "") -> Column:
-    """One row filter: contains, not_contains (without case), equals, not_equals, empty, not_empty, gt, gte, lt, lte (false unless numeric)."""
+    """One row filter: contains, not_contains (without case), equals, not_equals, empty, not_empty, matches (a regular expression, with case), gt, gte, lt, lte (false unless numeric)."""
     cell = F.coalesce(F.col(find_column(df, column)).cast("string"), F.lit(""))
     x, bound = to_num(cell), to_num(F.lit(value))
     rules = {
@@ -45,6 +45,7 @@ def row_rule(df: DataFrame, column: str, op: str, value: str = "") -> Column:
         "not_equals": lambda: cell != value,
         "empty": lambda: F.trim(cell) == "",
         "not_empty": lambda: F.trim(cell) != "",
+        "matches": lambda: cell.rlike(value),
         "gt": lambda: F.coalesce(x > bound, F.lit(False)),
         "gte": lambda: F.coalesce(x >= bound, F.lit(False)),
         "lt": lambda: F.coalesce(x < bound, F.lit(False)),
@@ -55,6 +56,11 @@ def row_rule(df: DataFrame, column: str, op: str, value: str = "") -> Column:
     return rules[op]()
 
 
+def overview(df: DataFrame) -> DataFrame:
+    """One row about a table: n_columns, n_rows, names (joined by a comma and a space)."""
+    return df.agg(F.count("*").alias("n_rows")).select(F.lit(len(df.columns)).alias("n_columns"), "n_rows", F.lit(", ".join(df.columns)).alias("names"))
+
+
 def select_columns(df: DataFrame, rules: Sequence[tuple[str, str]], keep: bool = True) -> DataFrame:
     """Keeps (or drops) the columns whose names meet all rules; if none would remain, all do."""
     tests = {

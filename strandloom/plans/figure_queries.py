@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
-from strandloom.operators import align, blocks, genomics, plotdata, profile, records, scan, stats
+from strandloom.operators import align, blocks, genomics, plotdata, profile, records, scan, sets_text, stats, tables
+from strandloom.plans import workflow
 from strandloom.plans.design_queries import _PROTEIN, _proteins
 from strandloom.plans.genome_queries import _DNA, _dna
 from strandloom.plans.registry import Registry
@@ -225,3 +226,29 @@ def ols_multiple_fit(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of a regression on three predictors, by the normal equations."""
     fit = stats.multiple_regression(table(spark, d, "lineitem"), "l_extendedprice", list(_XS.values()))
     return fit.select("term", "n", F.round("coefficient", 2).alias("coefficient"), "r_squared")
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Z]{3,}'), ' ') AS found FROM documents WHERE text IS NOT NULL")
+def extracted_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of capitals in texts, joined."""
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", sets_text.only_matches(F.col("text"), "[A-Z]{3,}", " ").alias("found"))
+
+
+@query("SELECT 3 AS n_columns, count(*) AS n_rows, 'l_orderkey, l_quantity, l_tax' AS names FROM lineitem")
+def table_overview(spark: SparkSession, d: str) -> DataFrame:
+    """Columns and rows of a table."""
+    return tables.overview(table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_tax"))
+
+
+@query("""WITH s AS (SELECT record_id, upper(regexp_replace(sequence, '\\s+', '', 'g')) AS s FROM sequence_records WHERE alphabet = 'dna-rna' AND sequence IS NOT NULL) SELECT record_id, regexp_replace(s, '[^ACGTURYSWKMBDHVN]', '', 'g') AS letters, CAST(length(regexp_replace(s, '[ACGTURYSWKMBDHVN]', '', 'g')) AS INTEGER) AS removed FROM s""")
+def cleaned_records(spark: SparkSession, d: str) -> DataFrame:
+    """Nucleotide letters of the records, and how many other letters they lost."""
+    rows = table(spark, d, "sequence_records").where("alphabet = 'dna-rna' AND sequence IS NOT NULL")
+    return rows.select("record_id", seq.clean_letters(F.col("sequence"), "ACGTURYSWKMBDHVN").alias("c")).select("record_id", F.col("c.sequence").alias("letters"), "c.removed")
+
+
+@query("SELECT record_id, title, sequence FROM sequence_records WHERE length(sequence) > 200 AND regexp_matches(coalesce(title, ''), '^[A-Z]')")
+def workflow_records(spark: SparkSession, d: str) -> DataFrame:
+    """A workflow of two filters of records."""
+    plan = [{"op": "to_records"}, {"op": "filter_records", "field": "length", "rule": "gt", "value": "200"}, {"op": "map", "steps": [{"op": "filter_records", "field": "title", "rule": "matches", "value": "^[A-Z]"}]}]
+    return workflow.run(table(spark, d, "sequence_records").select("record_id", "title", "sequence"), plan)

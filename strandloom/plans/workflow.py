@@ -22,6 +22,12 @@ def _records(df: DataFrame) -> DataFrame:
     return df
 
 
+def _filtered(df: DataFrame, field: str, rule: str, value: str) -> DataFrame:
+    """Records by a rule on a column or on ``length``, the number of their letters."""
+    with_length = df.withColumn("length", F.length("sequence")) if field == "length" else df
+    return with_length.where(tables.row_rule(with_length, field, rule, value)).select(*df.columns)
+
+
 #: Step name: (kind in, kind out, function of a DataFrame and the step's options).
 STEPS: dict[str, tuple[str, str, Callable[..., DataFrame]]] = {
     "filter": (TABLE, TABLE, lambda df, column, rule, value="": df.where(tables.row_rule(df, column, rule, value))),
@@ -32,6 +38,7 @@ STEPS: dict[str, tuple[str, str, Callable[..., DataFrame]]] = {
     "sort": (TABLE, TABLE, lambda df, rules, ties=(): tables.sort_by(df, rules, *ties)),
     "take": (TABLE, TABLE, lambda df, n: df.limit(n)),
     "to_records": (TABLE, RECORDS, _records),
+    "filter_records": (RECORDS, RECORDS, lambda df, field, rule, value="": _filtered(df, field, rule, value)),
     "min_length": (RECORDS, RECORDS, lambda df, n: df.where(F.length("sequence") >= n)),
     "reverse_complement": (RECORDS, RECORDS, lambda df: df.withColumn("sequence", seq.reverse_complement(F.col("sequence")))),
     "translate": (RECORDS, RECORDS, lambda df: df.withColumn("sequence", seq.translate(F.col("sequence")))),

@@ -61,6 +61,13 @@ def test_tables_and_samples(spark):
     assert {r["chrom"] for r in calls.collect()} == {"chr1", "chr2"} and calls.count() == 6
 
 
+def test_ids_and_positions(spark):
+    assert ids(genomics.filter_variants(vcf(spark), passed=False, ids=["b", "x"])) == ["b"]
+    long_ = genomics.parse_vcf(spark.createDataFrame([("c\t5\tz;y\tACGT\tA\t.\t.\t.",)], "value string"))
+    assert genomics.filter_variants(long_, "c", 7, 9, ids=["y"]).count() == 1
+    assert genomics.filter_variants(long_, "c", 7, 9, by_position=True).count() == 0
+
+
 def test_read_tables(spark):
     df = spark.createDataFrame([(0, "ACGT", "IIII"), (1, "ACGT", "!!!!"), (2, "A", "I"), (3, None, None)], "read_no long, sequence string, quality string")
     assert {tuple(r) for r in reads.length_distribution(df).collect()} == {(4, 2, 66.67), (1, 1, 33.33)}
