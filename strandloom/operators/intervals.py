@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.grouping import running_totals
 from strandloom.operators.periods import periods_and_gaps
+from strandloom.session import written
 
 #: Positions per bin of the range joins.
 BIN = 4096
@@ -117,7 +118,7 @@ def subtract_others(df: DataFrame, id_col: str) -> DataFrame:
 def depth(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """Runs of equal depth above 0: keys, start, end, depth. A sweep over +1/-1 events counted per position."""
     events = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).cast("long").alias("d")), F.struct((F.col(end) + 1).alias("pos"), F.lit(-1).cast("long").alias("d")))).alias("v")).groupBy(*keys, F.col("v.pos").alias("pos")).agg(F.sum("v.d").alias("d"))
-    swept = running_totals(events, keys, "pos", ["d"])
+    swept = running_totals(written(events), keys, "pos", ["d"])  # read once per level, and twice below
     # the next event: inside the tile, else the first of the next tile that has any
     tile = F.shiftright("pos", 20)
     tiles = swept.groupBy(*keys, tile.alias("tile")).agg(F.min("pos").alias("first"))
