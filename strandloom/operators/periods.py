@@ -37,8 +37,8 @@ def periods_and_gaps(intervals: DataFrame, keys: Sequence[str], start: str = "se
 
     Returns keys, ``kind`` (period or gap), ``seg_start``, ``seg_end``. Intervals
     are closed and whole-numbered; touching ones are continuous. No valid
-    interval gives no rows; repeated rows change nothing. The counted positions and the possible boundaries are
-    each written to the shared folder once, since three later steps read them. Input rows must have
+    interval gives no rows; repeated rows change nothing. The counted positions, the possible boundaries and the boundaries are
+    each written to the shared folder once, since three and more later steps read them. Input rows must have
     non-null bounds with start <= end (see ``valid_intervals``).
     """
     keys = list(keys)
@@ -57,6 +57,7 @@ def periods_and_gaps(intervals: DataFrame, keys: Sequence[str], start: str = "se
     closing = ranked.where("closes").select(*keys, F.col("ends_upto").alias("rank"), F.col("pos").alias("closes_at"))
     # only the first start and the last end stay without a partner
     bounds = closing.join(opening, [*keys, "rank"], "full").where("opens_at IS NULL OR closes_at IS NULL OR opens_at > closes_at + 1").withColumn("one", F.lit(1).cast("long"))
+    bounds = written(bounds)
     gaps = bounds.where("opens_at IS NOT NULL AND closes_at IS NOT NULL").select(*keys, F.lit("gap").alias("kind"), (F.col("closes_at") + 1).alias("seg_start"), (F.col("opens_at") - 1).alias("seg_end"))
     numbered = running_totals(bounds.select(*keys, "rank", "opens_at", "closes_at", "one"), keys, "rank", ["one"])
     # boundary m closes period m - 1 and opens period m
