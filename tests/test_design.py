@@ -70,6 +70,31 @@ def test_off_targets(spark):
     assert design.off_targets(q, t.where("guide = ''")).count() == 0
 
 
+def test_diagonals(spark, tmp_path):
+    r = random.Random(7)
+    texts = ["".join(r.choices("ACgt", k=90)) for _ in range(6)]
+    a = [*texts, texts[0][10:50] + "é😀" + texts[1][:30], "A" * 25, "ACG", "", None]
+    b = [texts[0][5:40], texts[0][5:40].upper(), texts[2][30:60] + texts[3][:20], "é😀" + texts[1][:9], "a" * 9, "ACG", None]
+    for name, x in (("a", a), ("b", b)):
+        spark.createDataFrame(list(enumerate(x)), "key int, sequence string").write.parquet(str(tmp_path / name))  # of known, small size
+    left, right = (spark.read.parquet(str(tmp_path / name)) for name in "ab")
+    got = align.diagonals(left, right, 8)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    expected = Counter()
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            equal = {(p, q) for p in range(len(x or "")) for q in range(len(y or "")) if x[p].upper() == y[q].upper()}
+            for p, q in equal:
+                if (p - 1, q - 1) not in equal:
+                    n = next(n for n in range(1, 99) if (p + n, q + n) not in equal)
+                    if n >= 8:
+                        expected[i, j, p + 1, q + 1, n] += 1
+    assert Counter(tuple(x) for x in got.collect()) == expected
+    for k in (1, 5, 8):
+        cut = [(i, at + place) for block in align.stretches(b, k, 11) for s, place in zip(*(x.tolist() for x in align.words_in(block, k)[:2]), strict=True) for i, at, _ in [block[s]]]
+        assert sorted(cut) == [(i, p) for i, y in enumerate(b) for p in range(len(y or "") - k + 1)]
+
+
 def test_circular_fragments(spark):
     found = spark.createDataFrame([(1, 3), (1, 8), (1, 8), (2, 5)], "record_id long, start long")
     lengths = spark.createDataFrame([(1, 10), (2, 9), (3, 7), (4, 0)], "record_id long, length long")
