@@ -70,6 +70,22 @@ def test_off_targets(spark):
     assert design.off_targets(q, t.where("guide = ''")).count() == 0
 
 
+def test_off_targets_meet_few(spark):
+    """Only targets that share three pieces at their places are moved; other lengths and limits are found too."""
+    r = random.Random(11)
+    many = ["".join(r.choices("ACGT", k=20)) for _ in range(4000)]
+    q, t = (spark.createDataFrame([(x,) for x in texts], "guide string") for texts in (many[:40], many))
+    found = design.off_targets(q, t)
+    assert {(x["guide"], x["n_mismatches"]): x["n_sites"] for x in found.collect()} == Counter((x, n) for x in many[:40] for y in many if (n := sum(map(str.__ne__, x, y))) <= 2)
+    h = design.hashed_pieces(many, 5, [(0, 1, 2), (1, 2, 3)])
+    shifted = design.hashed_pieces([x[4:] + "ACGT" for x in many], 5, [(0, 1, 2), (1, 2, 3)])
+    assert not set(h[1].tolist()) & set(shifted[0].tolist())  # the same letters in other pieces
+    for m in (0, 1, 3):
+        few = [many[0][:11], many[0][:8] + many[1][:3], many[2][:11], "A" + many[0][1:11]]
+        df = spark.createDataFrame([(x,) for x in few], "guide string")
+        assert {(x["guide"], x["n_mismatches"]): x["n_sites"] for x in design.off_targets(df, df, m).collect()} == Counter((x, n) for x in set(few) for y in few if (n := sum(map(str.__ne__, x, y))) <= m)
+
+
 def test_diagonals(spark, tmp_path):
     r = random.Random(7)
     texts = ["".join(r.choices("ACgt", k=90)) for _ in range(6)]
